@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from concordia.llm import canonical_digest, mixing
+from concordia.llm import canonical_digest, language_id, media, mixing, secret_scan
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,8 +22,32 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_report(documents(spark, sf_dir))
+
+
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_id.fit_on(docs, ~held_out(F.col("doc_id")))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of_kind = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", of_kind("assign"), of_kind("access"), of_kind("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_canonical_digest": op5_canonical_digest, "op6_mixing": op6_mixing}
+    found = [op2_media, op5_canonical_digest, op6_mixing, op9_language_id, op10_secret_scan]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
