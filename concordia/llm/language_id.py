@@ -31,8 +31,8 @@ LONGEST_SAMPLE = 50_000
 CENTROIDS = 4
 FEATURES = 1 << 13
 ORDERS = (1, 2, 3, 4)
-#: Cosine under which no centroid is near enough. Running text of a known language scores 0.4 and more.
-REJECT_BELOW = 0.05
+#: Cosine under which no centroid is near enough. Running text of a known language scores 0.3 and more, unknown scripts under 0.05.
+REJECT_BELOW = 0.1
 UNKNOWN = "und"
 
 _FOLD = np.arange(256, dtype=np.uint8)

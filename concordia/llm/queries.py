@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordia.llm import canonical_digest, language_id, media, mixing, secret_scan
+from concordia.llm import canonical_digest, language_id, media, mixing, ngram_join, secret_scan
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +27,10 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_report(documents(spark, sf_dir))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(documents(spark, sf_dir), 3, Fraction(90, 100))
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -46,12 +51,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_media, op5_canonical_digest, op6_mixing, op9_language_id, op10_secret_scan]
+    found = [op2_media, op5_canonical_digest, op6_mixing, op7_ngram_join, op9_language_id, op10_secret_scan]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": OP6_SQL}
+    return {"op6_mixing": OP6_SQL, "op7_ngram_join": OP7_SQL}
 
 
 OP6_SQL = r"""
@@ -77,3 +82,23 @@ select doc_id, size, source_size, target,
        (whole * size + greatest(0, least(size, floor(target) - whole * source_size - before)))::bigint as taken
 from r
 """
+
+OP7_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+g as (
+  select doc_id, case when w is null or len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) end as g from w),
+n as (select doc_id, len(g)::bigint as n_shingles, md5(array_to_string(list_sort(g), chr(10))) as set_id from g),
+reps as (select set_id, min(doc_id) as rep from n where n_shingles > 0 group by set_id),
+e as (select g.doc_id, unnest(g.g) as s from g join reps on reps.rep = g.doc_id),
+pairs as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from e a join e b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+links as (
+  select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n_shingles + y.n_shingles - c)),
+pair_of(a, b) as (select a, b from links union select b, a from links),
+reach(a, b) as (select a, b from pair_of union select reach.a, pair_of.b from reach join pair_of on reach.b = pair_of.a),
+comp as (select rep, least(rep, coalesce(min(b), rep)) as c from reps left join reach on rep = a group by rep)
+select n.doc_id, n_shingles, case when n_shingles = 0 then n.doc_id else comp.c end as component_id
+from n left join reps using (set_id) left join comp on comp.rep = reps.rep
+"""
