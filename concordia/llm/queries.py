@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordia.llm import canonical_digest, language_id, media, mixing, ngram_join, secret_scan
+from concordia.llm import canonical_digest, huffman, language_id, media, mixing, ngram_join, packing, secret_scan
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,21 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+
+
+def op3_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.id_report(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_report(documents(spark, sf_dir))
 
@@ -51,7 +66,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_media, op5_canonical_digest, op6_mixing, op7_ngram_join, op9_language_id, op10_secret_scan]
+    found = [op1_packing, op2_media, op3_huffman, op5_canonical_digest, op6_mixing, op7_ngram_join, op9_language_id, op10_secret_scan]
     return {f.__name__: f for f in found}
 
 
