@@ -8,13 +8,17 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordia.llm import canonical_digest, huffman, language_id, media, mixing, ngram_join, packing, secret_scan
+from concordia.llm import canonical_digest, huffman, language_id, media, mixing, ngram_join, packing, phrase_automata, secret_scan
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_automata.repeat_report(documents(spark, sf_dir))
+
+
 def op5_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_digest.fingerprint_report(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -66,12 +70,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op2_media, op3_huffman, op5_canonical_digest, op6_mixing, op7_ngram_join, op9_language_id, op10_secret_scan]
+    found = [op1_packing, op2_media, op3_huffman, op4_phrase_automata, op5_canonical_digest, op6_mixing, op7_ngram_join, op9_language_id, op10_secret_scan]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": OP6_SQL, "op7_ngram_join": OP7_SQL}
+    return {"op6_mixing": OP6_SQL, "op7_ngram_join": OP7_SQL, "op4_phrase_automata": OP4_SQL}
 
 
 OP6_SQL = r"""
@@ -117,3 +121,16 @@ comp as (select rep, least(rep, coalesce(min(b), rep)) as c from reps left join
 select n.doc_id, n_shingles, case when n_shingles = 0 then n.doc_id else comp.c end as component_id
 from n left join reps using (set_id) left join comp on comp.rep = reps.rep
 """
+
+OP4_SQL = r"""
+with w as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w from documents),
+win as (
+  select doc_id, unnest(range(1, len(w) - 11)) as p, md5(array_to_string(w[unnest(range(1, len(w) - 11)) : unnest(range(13, len(w) + 1))], ' ')) as h
+  from w where len(w) >= 13),
+first as (select h, min(doc_id) as owner from win group by h),
+hit as (select distinct doc_id, p + o as place from win join first using (h), range(0, 13) r(o) where owner < doc_id),
+gone as (select doc_id, list(place) as gone from hit group by doc_id)
+select w.doc_id, len(w)::bigint as n_words, coalesce(len(gone), 0)::bigint as n_removed,
+  sha256(array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: gone is null or not list_contains(gone, x[2])), lambda x: x[1]), ' ')) as kept_sha256
+from w left join gone on w.doc_id = gone.doc_id
+"""
