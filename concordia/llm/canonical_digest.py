@@ -74,7 +74,8 @@ def with_next(docs: DataFrame, id_col: str, value: str, spread: int = 4) -> Data
     order = Window.partitionBy("range").orderBy(id_col, value)
     nexts = ranged.select("*", F.lead(value).over(order).alias("_next"), F.lag(F.lit(1)).over(order).alias("_before"), F.lead(F.lit(1)).over(order).alias("_after"))
     # Each range holds the id at its upper cut, so none is empty and the order of ranges is known.
-    heads = nexts.where("_before is null").select(F.expr(f"(range + {len(cuts)}) % {len(cuts) + 1}").alias("range"), F.col(value).alias("_head"))
+    # Keys that can't be null keep both branches on one exchange (a pushed null filter would split it).
+    heads = nexts.where("_before is null").select(F.expr(f"IF(range = 0, {len(cuts)}, range - 1)").alias("range"), F.col(value).alias("_head"))
     tails = nexts.where("_after is null").join(heads, "range").select(id_col, value, F.col("_head").alias(f"next_{value}"))
     return nexts.where("_after is not null").select(id_col, value, F.col("_next").alias(f"next_{value}")).unionByName(tails)
 
