@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from concordia.llm.storage import shuffle_partitions
+from concordia.llm.storage import range_expression, shuffle_partitions
 
 #: White space after NFKC (no-break and wide spaces have become U+0020 by then).
 _SPACE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{1680}\x{2028}\x{2029}]+"
@@ -70,7 +70,7 @@ def with_next(docs: DataFrame, id_col: str, value: str, spread: int = 4) -> Data
     n = partitions * spread
     cuts, top = docs.agg(F.percentile_approx(id_col, [i / n for i in range(1, n)], 100 * n), F.max(id_col)).head()
     cuts = sorted(c for c in set(cuts or []) if c < top)
-    ranged = docs.withColumn("range", F.expr(_range_of(id_col, cuts))).repartition(partitions, "range")
+    ranged = docs.withColumn("range", F.expr(range_expression(id_col, cuts))).repartition(partitions, "range")
     order = Window.partitionBy("range").orderBy(id_col, value)
     nexts = ranged.select("*", F.lead(value).over(order).alias("_next"), F.lag(F.lit(1)).over(order).alias("_before"), F.lead(F.lit(1)).over(order).alias("_after"))
     # Each range holds the id at its upper cut, so none is empty and the order of ranges is known.
@@ -80,18 +80,6 @@ def with_next(docs: DataFrame, id_col: str, value: str, spread: int = 4) -> Data
     return nexts.where("_after is not null").select(id_col, value, F.col("_next").alias(f"next_{value}")).unionByName(tails)
 
 
-def _range_of(id_col: str, cuts: list[int]) -> str:
-    """Binary search over literals, as nested IFs of logarithmic depth."""
-
-    def tree(lo: int, hi: int) -> str:
-        if lo == hi:
-            return str(lo)
-        mid = (lo + hi) // 2
-        return f"IF({id_col} <= {cuts[mid]}, {tree(lo, mid)}, {tree(mid + 1, hi)})"
-
-    return f"IF({id_col} IS NULL, 0, {tree(0, len(cuts))})"
-
-
 def fingerprint_report(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, with their likeness, and the exact classes.
 

@@ -28,8 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from concordia.llm import tokens
-from concordia.llm.canonical_digest import _range_of
-from concordia.llm.storage import materialize, shuffle_partitions
+from concordia.llm.storage import materialize, range_expression, shuffle_partitions
 from concordia.llm.text_kernel import text_array
 
 MAX_BITS = 16
@@ -221,7 +220,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> tup
     codebook = materialize(spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary"), "codebook")
     n = 2 * shuffle_partitions(spark)
     cuts = ids_table.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).head()[0] or []
-    coded = _coded(ids_table, lengths).withColumn("shard", F.expr(_range_of("doc_id", sorted(set(cuts)))))
+    coded = _coded(ids_table, lengths).withColumn("shard", F.expr(range_expression("doc_id", sorted(set(cuts)))))
     ordered = coded.repartition(shuffle_partitions(spark), "shard").sortWithinPartitions("shard", "doc_id", "n_tokens", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

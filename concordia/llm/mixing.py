@@ -91,3 +91,28 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     cut = placed.where("_kind = 1").withColumn("_left", F.col("_more") - F.col("_cell_from") - F.coalesce(F.sum("size").over(inside), F.lit(0)))
     cut = cut.select(*keep, (F.col("_whole") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("_left")))).cast("long").alias("taken"))
     return plain.unionByName(cut)
+
+
+def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
+    """The mix itself: the rows of ``docs`` as often as they are taken, n_chars following the text.
+
+    A row stands once for each whole time it is taken; the rest, if any, is a row with its first
+    words, joined by single blanks. Rows that agree in doc_id, source and size share their takes in
+    any order. All columns of ``docs`` stay.
+    """
+    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
+    alike = Window.partitionBy("_key", "source", "_size")
+    rows = docs.withColumn("_key", key).withColumn("_size", n_words(F.col("text"))).where("_size > 0").repartition("_key")
+    rows = rows.withColumn("_n", F.row_number().over(alike.orderBy("_key")))
+    takes = mix(docs, **settings).where("taken > 0").select(key.alias("_key"), "source", F.col("size").alias("_size"), "taken")
+    takes = takes.withColumn("_n", F.row_number().over(alike.orderBy("taken")))
+    takes = takes.select(F.col("_key").alias("_k"), F.col("source").alias("_s"), F.col("_size").alias("_z"), F.col("_n").alias("_m"), "taken")
+    # One hash key, so that texts move once; the rest is compared after.
+    same = (F.col("_key") == F.col("_k")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") - F.col("_z") == 0) & (F.col("_n") - F.col("_m") == 0)
+    taken = rows.join(takes, same)
+    copies = taken.withColumn("_words", F.explode(F.expr("concat(array_repeat(_size, int(taken div _size)), if(taken % _size > 0, array(taken % _size), array()))")))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("_words").cast("int")), " ")
+    copies = copies.withColumn("text", F.when(F.col("_words") < F.col("_size"), cut).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        copies = copies.withColumn("n_chars", F.length("text").cast("long"))
+    return copies.select(docs.columns)

@@ -352,7 +352,9 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, threshold: Fraction =
 
 def keep_one_of_each(docs: DataFrame, k: int = SHINGLE, threshold: Fraction = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose doc_id is their component's smallest; of rows that repeat a doc_id
-    with the same text, one. Rows without a word are linked with nothing and stay."""
+    with the same text, one. Rows without a word are linked with nothing and stay, as do rows
+    whose doc_id is null."""
     found = jaccard_components(docs, k, threshold)
-    stay = found.where("doc_id is null or component_id = doc_id").select("doc_id").distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    stay = found.where("component_id = doc_id").select("doc_id").distinct()
+    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))

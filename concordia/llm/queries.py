@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concordia.llm import canonical_digest, huffman, language_id, media, mixing, ngram_join, packing, phrase_automata, secret_scan
+from concordia.llm import canonical_digest, huffman, language_id, media, mixing, ngram_join, packing, phrase_automata, secret_scan, sparse_suffix
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(documents(spark, sf_dir), 3, Fraction(90, 100))
 
 
+def op8_sparse_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sparse_suffix.repeated_passages(documents(spark, sf_dir))
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -70,12 +74,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op2_media, op3_huffman, op4_phrase_automata, op5_canonical_digest, op6_mixing, op7_ngram_join, op9_language_id, op10_secret_scan]
+    found = [op1_packing, op2_media, op3_huffman, op4_phrase_automata, op5_canonical_digest, op6_mixing, op7_ngram_join, op8_sparse_suffix, op9_language_id, op10_secret_scan]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": OP6_SQL, "op7_ngram_join": OP7_SQL, "op4_phrase_automata": OP4_SQL}
+    return {"op6_mixing": OP6_SQL, "op7_ngram_join": OP7_SQL, "op4_phrase_automata": OP4_SQL, "op8_sparse_suffix": OP8_SQL}
 
 
 OP6_SQL = r"""
@@ -134,3 +138,15 @@ select w.doc_id, len(w)::bigint as n_words, coalesce(len(gone), 0)::bigint as n_
   sha256(array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: gone is null or not list_contains(gone, x[2])), lambda x: x[1]), ' ')) as kept_sha256
 from w left join gone on w.doc_id = gone.doc_id
 """
+
+OP8_SQL = r"""
+with w as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w from documents),
+win as (
+  select doc_id, unnest(range(1, len(w) - 48)) as p, md5(array_to_string(w[unnest(range(1, len(w) - 48)) : unnest(range(50, len(w) + 1))], ' ')) as h
+  from w where len(w) >= 50),
+first as (select h, min(doc_id) as owner from win group by h),
+hit as (select doc_id, p, owner from win join first using (h) where owner < doc_id),
+new as (select *, case when p <= lag(p) over (partition by doc_id order by p) + 50 then 0 else 1 end as opens from hit),
+span as (select *, sum(opens) over (partition by doc_id order by p) as span from new)
+select doc_id, (min(p) - 1)::bigint as start, (max(p) - min(p) + 50)::bigint as n_words, min(owner) as first_doc_id from span group by doc_id, span
+"""

@@ -33,3 +33,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def range_expression(id_col: str, cuts: list[int]) -> str:
+    """SQL for the place of an id among sorted cuts: nested IFs of logarithmic depth; null counts as 0."""
+
+    def tree(lo: int, hi: int) -> str:
+        if lo == hi:
+            return str(lo)
+        mid = (lo + hi) // 2
+        return f"IF({id_col} <= {cuts[mid]}, {tree(lo, mid)}, {tree(mid + 1, hi)})"
+
+    return f"IF({id_col} IS NULL, 0, {tree(0, len(cuts))})"
