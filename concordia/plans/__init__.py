@@ -1 +1,14 @@
+"""The catalogue: each query as (function, SQL that must give the same rows, or None)."""
 
+from __future__ import annotations
+
+from concordia.plans import line_queries
+
+_MODULES = (line_queries,)
+
+
+def catalogue() -> dict:
+    found = {}
+    for module in _MODULES:
+        found |= module.QUERIES
+    return found
