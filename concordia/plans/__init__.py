@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from concordia.plans import line_queries
+from concordia.plans import aggregate_queries, line_queries, matching_queries
 
-_MODULES = (line_queries,)
+_MODULES = (line_queries, matching_queries, aggregate_queries)
 
 
 def catalogue() -> dict:
