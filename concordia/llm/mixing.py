@@ -53,12 +53,13 @@ def water_fill(sources: DataFrame, weights: list[float], share: float, cap: floa
         (F.lit(share) * total).alias("_budget"),
         F.coalesce(F.sum(F.lit(cap) * F.col("source_size")).over(upto), F.lit(0.0)).alias("_clamped"),
         F.sum("weight").over(beyond).alias("_weight_left"),
+        F.row_number().over(everything).alias("_at"),
     )
     # Level that this source and all above it reach if all below are clamped.
     rows = rows.withColumn("_reach", (F.col("_budget") - F.col("_clamped")) / F.col("_weight_left"))
-    free = F.min(F.when(F.col("_reach") < F.col("_level"), F.struct("_level", "_reach"))).over(Window.partitionBy())
+    free = F.min(F.when(F.col("_reach") < F.col("_level"), F.struct("_level", "_at", "_reach"))).over(Window.partitionBy())
     rows = rows.withColumn("_free", free)
-    target = F.when(F.col("_free").isNull() | (F.col("_level") < F.col("_free._level")), F.lit(cap) * F.col("source_size")).otherwise(F.col("weight") * F.col("_free._reach"))
+    target = F.when(F.col("_free").isNull() | (F.col("_at") < F.col("_free._at")), F.lit(cap) * F.col("source_size")).otherwise(F.col("weight") * F.col("_free._reach"))
     return rows.select("source", "source_size", "weight", target.cast("double").alias("target"))
 
 
@@ -106,11 +107,11 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     rows = rows.withColumn("_n", F.row_number().over(alike.orderBy("_key")))
     takes = mix(docs, **settings).where("taken > 0").select(key.alias("_key"), "source", F.col("size").alias("_size"), "taken")
     takes = takes.withColumn("_n", F.row_number().over(alike.orderBy("taken")))
-    takes = takes.select(F.col("_key").alias("_k"), F.col("source").alias("_s"), F.col("_size").alias("_z"), F.col("_n").alias("_m"), "taken")
+    takes = takes.select(F.col("_key").alias("_k"), F.col("source").alias("_s"), F.col("_size").alias("_z"), F.col("_n").alias("_m"), F.col("taken").alias("_taken"))
     # One hash key, so that texts move once; the rest is compared after.
     same = (F.col("_key") == F.col("_k")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") - F.col("_z") == 0) & (F.col("_n") - F.col("_m") == 0)
     taken = rows.join(takes, same)
-    copies = taken.withColumn("_words", F.explode(F.expr("concat(array_repeat(_size, int(taken div _size)), if(taken % _size > 0, array(taken % _size), array()))")))
+    copies = taken.withColumn("_words", F.explode(F.expr("concat(array_repeat(_size, int(_taken div _size)), if(_taken % _size > 0, array(_taken % _size), array()))")))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("_words").cast("int")), " ")
     copies = copies.withColumn("text", F.when(F.col("_words") < F.col("_size"), cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
