@@ -69,9 +69,9 @@ def stitch_tables(tables: DataFrame, doc: str, page: str, header: str) -> DataFr
     return rows.withColumn("table_group", F.sum("_new").over(window.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def interval_clusters(df: DataFrame, keys: list[str], lo: str, hi: str, gap: float, name: str) -> DataFrame:
+def interval_clusters(df: DataFrame, keys: list[str], lo: str, hi: str, gap: float, name: str, tie: tuple[str, ...] = ()) -> DataFrame:
     """Adds a cluster number: intervals closer than ``gap`` to what lies before them join it."""
-    window = Window.partitionBy(*keys).orderBy(lo, hi)
+    window = Window.partitionBy(*keys).orderBy(lo, hi, *tie)
     reach = F.max(hi).over(window.rowsBetween(Window.unboundedPreceding, -1))
     rows = df.withColumn("_new", F.when(F.col(lo) - reach <= gap, 0).otherwise(1))
     return rows.withColumn(name, F.sum("_new").over(window.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_new")
