@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,8 +52,61 @@ def word_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return texts, copies.select("doc_id", "n_words", "rep").distinct()
 
 
+#: So many rows of one anchor in a run of texts are combined before they leave the batch.
+HOT_IN_RUN = 4
+_ROW = "anchor long, doc_id long, start int, windows binary, more binary, n_windows int, owner long, owner_start int"
+_NAMES = [c.split(" ")[0] for c in _ROW.split(", ")]
+
+
+class _Combiner:
+    """Pre-aggregates the rows of anchors that are frequent in a batch.
+
+    What a smaller doc_id of the batch has already shown is known to recur: such a row becomes a
+    finished run, dealt out evenly instead of by its anchor. Places where a document repeats its
+    own windows are listed in its first row. So a passage that a third of all documents share
+    sends a few rows a batch to its anchor's task.
+    """
+
+    def __init__(self) -> None:
+        self.known: dict[tuple[int, bytes], tuple[int, int, int, int]] = {}
+        self.hot = np.zeros(0, np.uint64)
+
+    def combine(self, run: int, anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, edges: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
+        value, place, count = np.unique(anchor, return_inverse=True, return_counts=True)
+        fresh = value[count >= HOT_IN_RUN]
+        self.hot = np.union1d(self.hot, fresh)
+        keep, more = np.ones(len(anchor), bool), {}
+        finished: list[tuple[int, int]] = []
+        for i in np.flatnonzero(np.isin(value, self.hot)[place]):
+            key = (int(anchor[i]), hashes[edges[i] : edges[i + 1]].tobytes())
+            first = self.known.get(key)
+            if first is not None and first[0] < doc[i]:
+                finished.append((i, key))
+                keep[i] = False
+            elif first is not None and first[0] == doc[i] and first[3] == run:
+                more.setdefault(first[2], []).append(int(start[i]))
+                keep[i] = False
+            else:
+                self.known[key] = (int(doc[i]), int(start[i]), int(i), run)
+        row = np.flatnonzero(keep)
+        values = pa.Array.from_buffers(pa.binary(), len(anchor), [None, pa.py_buffer((edges * 4).astype(np.int32)), pa.py_buffer(hashes)]).take(pa.array(row))
+        others = pa.array([np.array(more[i], "<i4").tobytes() if i in more else None for i in row.tolist()] if more else [None] * len(row), pa.binary())
+        none = np.zeros(len(row), np.int64)
+        plain = [pa.array(anchor[row].view(np.int64)), pa.array(doc[row]), pa.array(start[row].astype(np.int32)), values, others, pa.array(none.astype(np.int32)), pa.array(none), pa.array(none.astype(np.int32))]
+        if not finished:
+            return pa.record_batch(plain, _NAMES)
+        at = np.array([i for i, _ in finished])
+        dealt = mix(doc[at].astype(np.uint64) * _U(0x9E3779B97F4A7C15) + start[at].astype(np.uint64))
+        owner = np.array([self.known[k][:2] for _, k in finished], np.int64)
+        nothing = pa.nulls(len(at), pa.binary())
+        done = [pa.array(dealt.view(np.int64)), pa.array(doc[at]), pa.array(start[at].astype(np.int32)), nothing, nothing, pa.array((edges[at + 1] - edges[at]).astype(np.int32)), pa.array(owner[:, 0]), pa.array(owner[:, 1].astype(np.int32))]
+        return pa.record_batch([pa.concat_arrays([x, y]) for x, y in zip(plain, done, strict=True)], _NAMES)
+
+
 def anchor_rows(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """(anchor, doc_id, start, windows): ``windows`` has 4 bytes of hash for each window from word ``start``.
+    """(anchor, doc_id, start, windows, more, n_windows, owner, owner_start): ``windows`` has 4 bytes of
+    hash for each window from word ``start``; ``more`` has other places of the document with the same
+    windows. Rows with ``n_windows`` are finished runs, see ``_Combiner``.
 
     Within a batch, a text whose words a smaller doc_id has given already is passed over: it is a
     copy, and its words are known from the smaller one.
@@ -62,7 +116,8 @@ def anchor_rows(docs: DataFrame, window: int, k: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             seen: dict[tuple[int, int], int] = {}
-            for words in word_runs(text_array(batch)):
+            combiner = _Combiner()
+            for number, words in enumerate(word_runs(text_array(batch))):
                 h = words.hashes()
                 n, one, two = sequence_digests(words, h)
                 own = ids[words.rows.start : words.rows.stop]
@@ -83,31 +138,34 @@ def anchor_rows(docs: DataFrame, window: int, k: int) -> DataFrame:
                 new = np.ones(len(valid), bool)
                 new[1:] = (at[valid][1:] != at[valid][:-1]) | (of[1:] != of[:-1])
                 first = np.flatnonzero(new)
-                hashes = (whole[valid] >> _U(32)).astype("<u4")
-                offsets = np.append(first, len(valid)) * 4
-                values = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(hashes)])
                 start = (valid - words.first[of])[first]
-                yield pa.record_batch([pa.array(grams[at[valid[first]]].view(np.int64)), pa.array(own[of[first]]), pa.array(start.astype(np.int32)), values], ["anchor", "doc_id", "start", "windows"])
+                yield combiner.combine(number, grams[at[valid[first]]], own[of[first]], start, np.append(first, len(valid)), (whole[valid] >> _U(32)).astype("<u4"))
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "anchor long, doc_id long, start int, windows binary")
+    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, _ROW)
 
 
 def recurring_runs(rows: DataFrame) -> DataFrame:
-    """(doc_id, start, n_windows, owner, owner_start): runs of windows that the smallest doc_id holding
-    them, the owner, has too. ``rows`` come from ``anchor_rows``.
+    """(doc_id, start, n_windows, owner, owner_start, row_start, finished): runs of windows that a smaller
+    doc_id has too. The owner is the smallest one that has them or, in a finished run, the one that
+    its batch knew: ``smallest_owners`` looks further. ``rows`` come from ``anchor_rows``.
 
     One exchange by anchor; each partition is sorted and read as a stream. Of the group in which
     a batch ends, only the owners of its distinct windows are kept, not its rows.
     """
-    names = ["doc_id", "start", "n_windows", "owner", "owner_start"]
+    names = ["doc_id", "start", "n_windows", "owner", "owner_start", "row_start", "finished"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_anchor, owners = None, {}
-        for batch in batches:
+        for whole in batches:
+            finished = pc.greater(whole.column("n_windows"), 0)
+            done = whole.filter(finished)
+            if done.num_rows:
+                yield pa.record_batch([done.column(c).cast(pa.int64()) for c in (*names[:5], "start")] + [pa.array(np.ones(done.num_rows, bool))], names)
+            batch = whole.filter(pc.invert(finished))
             if not batch.num_rows:
                 continue
             anchor, doc, start = (batch.column(c).to_numpy() for c in range(3))
-            edges = np.frombuffer(batch.column(3).buffers()[1], np.int32, batch.num_rows + 1, batch.column(3).offset * 4)
+            edges = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column(3)).to_numpy())])
             same = anchor[1:] == anchor[:-1]
             many = np.zeros(len(anchor), bool)
             many[1:] |= same
@@ -117,9 +175,8 @@ def recurring_runs(rows: DataFrame) -> DataFrame:
             count = (edges[1:] - edges[:-1])[row] // 4
             of = np.repeat(row, count)
             nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-            data = np.frombuffer(batch.column(3).buffers()[2], np.uint8)
-            data = data[edges[0] : edges[0] + (edges[-1] - edges[0])].view("<u4") if not edges[0] % 4 else np.frombuffer(data[edges[0] : edges[-1]].tobytes(), "<u4")
-            short = data[(edges[of] - edges[0]) // 4 + nth].astype(np.uint32)
+            data = np.frombuffer(b"".join(v.as_buffer() for v in batch.column(3).take(pa.array(row))), "<u4")
+            short = data.astype(np.uint32)
             a, d, p = anchor[of], doc[of], start[of].astype(np.int64) + nth
             order = np.lexsort((short, a))
             first = np.ones(len(order), bool)
@@ -144,10 +201,27 @@ def recurring_runs(rows: DataFrame) -> DataFrame:
             begin = np.flatnonzero(new)
             size = np.diff(np.append(begin, len(hit)))
             b = hit[begin]
-            yield pa.record_batch([pa.array(d[b]), pa.array(p[b]), pa.array(size), pa.array(owner[b]), pa.array(place[b])], names)
+            at = start[of[b]].astype(np.int64)
+            yield pa.record_batch([pa.array(c) for c in (d[b], p[b], size, owner[b], place[b], at, np.zeros(len(b), bool))], names)
+            # The same runs at the document's other places with these windows.
+            again = []
+            for j in np.flatnonzero(pc.is_valid(batch.column("more")).to_numpy(zero_copy_only=False)[of[b]]):
+                r = of[b[j]]
+                for other in np.frombuffer(batch.column("more")[int(r)].as_buffer(), "<i4"):
+                    again.append((d[b[j]], p[b[j]] - start[r] + other, size[j], owner[b[j]], place[b[j]], other))
+            if again:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*again, strict=True)] + [pa.array(np.zeros(len(again), bool))], names)
 
     n = shuffle_partitions(rows.sparkSession)
-    return rows.repartition(n, "anchor").sortWithinPartitions("anchor", "doc_id", "start").mapInArrow(run, "doc_id long, start long, n_windows long, owner long, owner_start long")
+    return rows.repartition(n, "anchor").sortWithinPartitions("anchor", "doc_id", "start").mapInArrow(run, "doc_id long, start long, n_windows long, owner long, owner_start long, row_start long, finished boolean")
+
+
+def smallest_owners(runs: DataFrame) -> DataFrame:
+    """(doc_id, start, n_windows, owner): finished runs take the smallest owner of the row they were known from."""
+    first = runs.where("not finished").groupBy(F.col("doc_id").alias("_d"), F.col("row_start").alias("_s")).agg(F.min("owner").alias("_first"))
+    done = runs.where("finished").join(first, (F.col("owner") == F.col("_d")) & (F.col("owner_start") == F.col("_s")), "left")
+    done = done.select("doc_id", "start", "n_windows", F.least("owner", "_first").alias("owner"))
+    return runs.where("not finished").select("doc_id", "start", "n_windows", "owner").unionByName(done)
 
 
 def joined_runs(runs: DataFrame) -> DataFrame:
@@ -165,6 +239,7 @@ def joined_runs(runs: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(x) for x in (doc[b], start[b], np.add.reduceat(n, b), owner[b], place[b])], names)
 
     p = shuffle_partitions(runs.sparkSession)
+    runs = runs.select(names)
     return runs.repartition(p, "doc_id").sortWithinPartitions("doc_id", "start").mapInArrow(run, runs.schema)
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordia.llm.passages import anchor_rows, recurring_runs, word_copies
+from concordia.llm.passages import anchor_rows, recurring_runs, smallest_owners, word_copies
 from concordia.llm.storage import materialize, shuffle_partitions
 
 MIN_WORDS = 50
@@ -34,6 +34,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, prefix: int =
     """
     _, copies = word_copies(docs)
     runs = materialize(recurring_runs(anchor_rows(docs, min_words, prefix)), "suffix-runs")
+    runs = smallest_owners(runs)
     # A copy repeats all of its first text, and whatever that repeats.
     before = runs.groupBy("doc_id").agg(F.min("owner").alias("_first")).withColumnRenamed("doc_id", "rep")
     whole = copies.where(F.col("n_words") >= min_words).join(before, "rep", "left")

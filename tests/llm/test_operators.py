@@ -228,6 +228,24 @@ def test_passages_against_brute_force(docs, rows, clashing, empty, null_ids):
     check_passages([r for r in rows if r[0] % 5], sparse_suffix.repeated_passages(null_ids).collect())
 
 
+@pytest.mark.parametrize("window", [13, 50])
+def test_a_passage_that_most_documents_share(spark, window):
+    """Hot anchors are combined within batches and still give the same result."""
+    rng = random.Random(window)
+    words = [f"w{i}" for i in range(300)]
+    passage, line = " ".join(rng.choice(words) for _ in range(80)), "x y " * 30
+    rows = []
+    for i in range(90):
+        own = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(3)]
+        rows.append((i, f"{own[0]} {passage if i % 3 else passage[40:]} {own[1]} {line if i % 2 else line[8:]} {own[2]}"))
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    if window == 13:
+        check_repeats(rows, phrase_automata.repeat_report(docs).collect())
+    else:
+        check_passages(rows, sparse_suffix.repeated_passages(docs).collect())
+
+
 # --- fingerprints
 
 
