@@ -55,5 +55,5 @@ def test_entry_module_works_without_the_llm_folders(tmp_path):
     root = Path(__file__).resolve().parent.parent
     shutil.copytree(root / "concordia", tmp_path / "concordia", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'flagship_line_changes' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); e.oracle_sql()"
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'flagship_line_changes' in q and not any(n[:2] == 'op' and n[2].isdigit() or n == 'pipeline' for n in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
