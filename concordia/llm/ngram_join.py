@@ -189,27 +189,33 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 
 def _fragment_rows(docs: DataFrame, k: int, lower: bool) -> DataFrame:
-    """(doc_id, d1, d2, n, fragment, hashes, bitmap): sets cut for counting; the first fragment has the bitmap."""
-    names = ["doc_id", "d1", "d2", "n", "fragment", "hashes", "bitmap"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    """(doc_id, n, fragment, hashes, bitmap): sets cut for counting; the first fragment has the bitmap.
+
+    ``docs`` has doc_id, text and the digests d1, d2 of the set that stands for the doc_id; rows with
+    another set are passed over. A row that repeats gives its fragments again.
+    """
+    names = ["doc_id", "n", "fragment", "hashes", "bitmap"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
     bounds = [_U(f * ((1 << 64) // COUNT_FRAGMENTS)) for f in range(1, COUNT_FRAGMENTS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            ids, d1, d2 = batch.column(0).to_numpy(), batch.column("d1").to_numpy(), batch.column("d2").to_numpy()
             for words in word_runs(text_array(batch), lower):
                 value, owner = shingle_sets(words, k)
                 _, one, two = _set_digests(value, owner, len(words.rows))
                 edges = np.searchsorted(owner, np.arange(len(words.rows) + 1))
                 rows = []
-                for i in range(len(words.rows)):
+                here = slice(words.rows.start, words.rows.stop)
+                for i in np.flatnonzero((one.view(np.int64) == d1[here]) & (two.view(np.int64) == d2[here])):
                     v = value[edges[i] : edges[i + 1]]
                     cut = [0, *np.searchsorted(v, bounds).tolist(), len(v)]
-                    key = (ids[words.rows.start + i], one[i].astype(np.int64), two[i].astype(np.int64), len(v))
+                    key = (ids[words.rows.start + i], len(v))
                     rows += [(*key, f, v[cut[f] : cut[f + 1]].tobytes(), None if f else parity_bitmap(v).tobytes()) for f in range(COUNT_FRAGMENTS)]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                if rows:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return docs.mapInArrow(run, "doc_id long, d1 long, d2 long, n long, fragment int, hashes binary, bitmap binary")
+    return docs.mapInArrow(run, "doc_id long, n long, fragment int, hashes binary, bitmap binary")
 
 
 def parity_bitmap(hashes: np.ndarray) -> np.ndarray:
@@ -219,8 +225,28 @@ def parity_bitmap(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8))
 
 
+def plausible(pairs: DataFrame, marks: DataFrame, threshold: Fraction) -> DataFrame:
+    """(a, b) pairs that sizes and parity bitmaps do not rule out."""
+    p, q = threshold.numerator, threshold.denominator
+    one = marks.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("bitmap").alias("bits_a"))
+    two = marks.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("bitmap").alias("bits_b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n_a, n_b = (batch.column(c).to_numpy() for c in ("a", "b", "n_a", "n_b"))
+            bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITMAP_WORDS) for c in ("bits_a", "bits_b")]
+            differ = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
+            fits = (differ <= (n_a + n_b) * (q - p) // (q + p)) & (np.minimum(n_a, n_b) * q >= np.maximum(n_a, n_b) * p)
+            yield pa.record_batch([pa.array(a[fits]), pa.array(b[fits])], ["a", "b"])
+
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    return both.mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, fragments: DataFrame, threshold: Fraction) -> DataFrame:
     """(a, b) pairs that reach the threshold: partial overlaps by fragment, then their sum."""
+    members = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    fragments = materialize(fragments.select("doc_id", "n", "fragment", "hashes").join(members, "doc_id", "left_semi"), "members")
     one = fragments.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), "fragment", F.col("hashes").alias("hashes_a"))
     two = fragments.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), "fragment", F.col("hashes").alias("hashes_b"))
 
@@ -228,10 +254,11 @@ def verified(pairs: DataFrame, fragments: DataFrame, threshold: Fraction) -> Dat
         for batch in batches:
             both = zip(batch.column("hashes_a"), batch.column("hashes_b"), strict=True)
             common = [len(np.intersect1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True)) for x, y in both]
-            yield pa.record_batch([*(batch.column(c) for c in ("a", "b", "n_a", "n_b")), pa.array(common, pa.int64())], ["a", "b", "n_a", "n_b", "part"])
+            yield pa.record_batch([*(batch.column(c) for c in ("a", "b", "n_a", "n_b", "fragment")), pa.array(common, pa.int64())], ["a", "b", "n_a", "n_b", "fragment", "part"])
 
-    counted = pairs.join(one, "a").join(two, ["b", "fragment"]).mapInArrow(run, "a long, b long, n_a long, n_b long, part long")
-    total = counted.groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("common"))
+    counted = pairs.join(one, "a").join(two, ["b", "fragment"]).mapInArrow(run, "a long, b long, n_a long, n_b long, fragment int, part long")
+    parts = counted.groupBy("a", "b", "n_a", "n_b", "fragment").agg(F.max("part").alias("part"))  # a repeated row counts once
+    total = parts.groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("common"))
     return total.where(f"{threshold.denominator} * common >= {threshold.numerator} * (n_a + n_b - common)").select("a", "b")
 
 
@@ -325,16 +352,14 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, threshold: Fraction =
     shared = materialize(_shared(_signature_rows(docs, k, lower, threshold, longest)), "shared")
     groups = shared.join(of, "doc_id").select("sig", F.col("rep").alias("doc_id")).distinct()
     groups = materialize(_shared(groups), "groups")
-    wanted = groups.select("doc_id").distinct()
-    fragments = _fragment_rows(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), k, lower)
-    chosen = classes.select(F.col("rep").alias("doc_id"), "d1", "d2")
-    fragments = fragments.join(chosen, ["doc_id", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "fragment"])
+    wanted = groups.select("doc_id").distinct().join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), "doc_id")
+    fragments = _fragment_rows(docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "d1", "d2"), k, lower)
     fragments = materialize(fragments, "fragments")
 
-    tried = materialize(_star_pairs(groups), "pairs")
+    marks = materialize(fragments.where("fragment = 0").select("doc_id", "n", "bitmap").dropDuplicates(["doc_id"]), "marks")
+    tried = materialize(plausible(_star_pairs(groups), marks, threshold), "pairs")
     links = materialize(verified(tried, fragments, threshold), "links")
     labels = connected_components(links)
-    marks = fragments.where("fragment = 0").select("doc_id", "n", "bitmap")
     for nearest in (True, False):
         rest = groups.join(labels, groups["doc_id"] == labels["node"], "left").select("sig", "doc_id", F.coalesce("component", "doc_id").alias("component"))
         split = rest.groupBy("sig").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"))
