@@ -88,20 +88,31 @@ def pattern_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def _outside(a: int, b: int, covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What of ``a`` to ``b`` no covered range holds, from left to right."""
+    free = []
+    for x, y in sorted(covered):
+        if x < b and a < y:
+            if a < x:
+                free.append((a, x))
+            a = max(a, y)
+    return [*free, (a, b)] if a < b else free
+
+
 def entropy_findings(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Entropy spans outside what the patterns cover already; hex is tried before base64."""
+    """Entropy spans less what is covered already, by a pattern or by a kind tried earlier; hex is tried
+    before base64. All that remains of a span is found, in pieces where it is covered in between."""
     found: list[tuple[int, int, str]] = []
-    covered = [(a, b) for a, b, _ in taken]
     for c in CANDIDATE.finditer(text):
         if any(p.fullmatch(c[0]) for p in ALLOWED):
             continue
+        covered = [(a, b) for a, b, _ in taken if a < c.end() and c.start() < b]
         for kind, runs in CLASS_RUNS.items():
             for run in runs.finditer(c[0]):
                 for a, b in entropy_spans(run[0], THRESHOLDS[kind]):
-                    a, b = a + run.start() + c.start(), b + run.start() + c.start()
-                    if not any(x < b and a < y for x, y in covered):
-                        found.append((a, b, kind))
-                        covered.append((a, b))
+                    for piece in _outside(a + run.start() + c.start(), b + run.start() + c.start(), covered):
+                        found.append((*piece, kind))
+                        covered.append(piece)
     return found
 
 
