@@ -2,8 +2,8 @@
 
 Candidates are runs of key-like characters. Inside one, every window of ``WINDOW`` characters of a
 class gets its entropy from counts that change by one character in and one out; windows above
-the class's threshold join into spans. An allow-list suppresses what is known not to be a
-secret. Pattern spans are never suppressed.
+the class's threshold join into spans. An allow-list suppresses numbers and dates; of candidates made
+of letters, windows whose letters follow one another as in words. Pattern spans are never suppressed.
 
 * null and empty texts: no spans; very long texts: whole, in one pass, with constant extra memory
 * repeated rows: each is scanned by itself; empty table: no rows; other columns of the input play no part
@@ -38,18 +38,63 @@ CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{WINDOW},}}")
 ALLOWED = tuple(
     re.compile(p)
     for p in (
-        r"[A-Za-z/_=-]+",  # words, paths and identifiers without a digit
         r"[0-9/_=+-]+",  # numbers, dates, card-like groups
-        r"(?:[A-Za-z]+[/_-])*[A-Za-z]+[/_-]?[0-9]{1,6}",  # a named thing with a short number
         r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]+Z?",
     )
 )
+#: What may be words, paths and identifiers, or a named thing with a short number: its windows are judged one by one.
+LETTERED = re.compile(r"[A-Za-z/_=-]+|(?:[A-Za-z]+[/_-])*[A-Za-z]+[/_-]?[0-9]{1,6}")
+#: For each letter a to z, how well a to z follow it in English, German, French and Spanish words; 5 is
+#: as often as any letter would, one more is twice as often.
+PAIRS = (
+    "55653242503657350667533331",
+    "75547322651833641553611251",
+    "62436327506632731546531030",
+    "64458434711534630555523220",
+    "63565433401547443776333522",
+    "63446742711633730655512131",
+    "63338346612545530665532023",
+    "74328225602435620556323022",
+    "44655451211658641466040304",
+    "83437224535433653353722333",
+    "53448444632635442465435131",
+    "62358311701632630255421061",
+    "75238311602453660254511041",
+    "63577474513424631367443021",
+    "34553441413558450755634301",
+    "72437524601622652756412050",
+    "43322122303324234443923211",
+    "63448343603444630666433041",
+    "52537236613433552368513040",
+    "63438317701433540655423143",
+    "55547442501667461666221501",
+    "73329322711343430333223122",
+    "73446328711435630653234301",
+    "54756514622453463447232652",
+    "55546434502556572467334364",
+    "63448333622442532343733447",
+)
+#: The mean of a window's letter pairs that words reach. Random letters come to about 3.8, identifiers to about 6.
+WORDLIKE = 5.0
+_PAIR = {a + b: int(v) for a, row in zip("abcdefghijklmnopqrstuvwxyz", PAIRS, strict=True) for b, v in zip("abcdefghijklmnopqrstuvwxyz", row, strict=True)}
 
 _N_LOG_N = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
 
 
-def entropy_spans(run: str, threshold: float, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Spans of ``run`` covered by windows whose entropy reaches the threshold, joined where they meet."""
+def wordlike(run: str, window: int = WINDOW) -> list[bool]:
+    """For each window of ``run``, whether its neighbouring letters follow one another as in words."""
+    low = run.lower()
+    total, pairs = [0], [0]
+    for i in range(len(low) - 1):
+        value = _PAIR.get(low[i : i + 2])
+        total.append(total[-1] + (value or 0))
+        pairs.append(pairs[-1] + (value is not None))
+    return [total[i + window - 1] - total[i] >= WORDLIKE * (pairs[i + window - 1] - pairs[i]) for i in range(len(low) - window + 1)]
+
+
+def entropy_spans(run: str, threshold: float, window: int = WINDOW, harmless: list[bool] | None = None) -> list[tuple[int, int]]:
+    """Spans of ``run`` covered by windows whose entropy reaches the threshold, joined where they meet.
+    Windows that are ``harmless`` do not count."""
     if len(run) < window:
         return []
     table = _N_LOG_N if window == WINDOW else [0.0] + [n * math.log2(n) for n in range(1, window + 1)]
@@ -57,15 +102,15 @@ def entropy_spans(run: str, threshold: float, window: int = WINDOW) -> list[tupl
     counts: dict[str, int] = {}
     total, spans, open_at, open_to = 0.0, [], -1, -1
     for i, c in enumerate(run):
-        n = counts.get(c, 0)
-        counts[c] = n + 1
-        total += table[n + 1] - table[n]
-        if i >= window:
+        if i >= window:  # before the next one comes in: no count passes ``window``
             out = run[i - window]
             n = counts[out]
             counts[out] = n - 1
             total -= table[n] - table[n - 1]
-        if i >= window - 1 and total <= most:
+        n = counts.get(c, 0)
+        counts[c] = n + 1
+        total += table[n + 1] - table[n]
+        if i >= window - 1 and total <= most and not (harmless and harmless[i - window + 1]):
             at = i - window + 1
             if open_at >= 0 and at <= open_to:
                 open_to = i + 1
@@ -107,9 +152,12 @@ def entropy_findings(text: str, taken: list[tuple[int, int, str]]) -> list[tuple
         if any(p.fullmatch(c[0]) for p in ALLOWED):
             continue
         covered = [(a, b) for a, b, _ in taken if a < c.end() and c.start() < b]
+        lettered = LETTERED.fullmatch(c[0]) is not None
         for kind, runs in CLASS_RUNS.items():
             for run in runs.finditer(c[0]):
-                for a, b in entropy_spans(run[0], THRESHOLDS[kind]):
+                if len(run[0]) < WINDOW:
+                    continue
+                for a, b in entropy_spans(run[0], THRESHOLDS[kind], harmless=wordlike(run[0]) if lettered else None):
                     for piece in _outside(a + run.start() + c.start(), b + run.start() + c.start(), covered):
                         found.append((*piece, kind))
                         covered.append(piece)

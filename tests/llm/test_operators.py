@@ -433,6 +433,20 @@ def test_what_a_covered_range_leaves_of_an_entropy_span_is_found():
     assert secret_scan.scan(left + hexed[:24] + right) == [(0, 24, "entropy_base64"), (24, 48, "entropy_hex"), (48, 72, "entropy_base64")]
 
 
+def test_keys_of_letters_are_found_and_names_are_not():
+    for key in ("qZpLmXvBtRkWsYuEoAhGfDcN", "qzplmxvbtrkwsyueoahgfdcn", "XqZpLmVbTrKwSyUeOaHgFd4071", "config/qZpLmXvBtRkWsYuEoAhGfDcN"):
+        (a, b, kind), = secret_scan.scan(f"key {key} end")
+        assert kind == "entropy_base64" and b == 4 + len(key) and a <= b - 24
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = ["".join(rng.choice(letters) for _ in range(24)) for _ in range(500)]
+    high = [k for k in keys if secret_scan.entropy_spans(k, 3.8)]
+    assert len(high) > 450 and sum(bool(secret_scan.scan(k)) for k in high) >= 0.99 * len(high)
+    for name in ("test_all_exports_everything_but_modules", "PyUnicodeTranslateError_SetReason", "MockHTTPHandlerRedirect", "org/apache/spark/sql/execution/joins/SortMergeJoin", "Donaudampfschifffahrtsgesellschaft", "responsabilidades_compartidas_2024"):
+        assert secret_scan.scan(name) == []
+    assert secret_scan.scan("=" * 80 + " " + "word" + "-" * 60 + " " + "G" * 40 + "x1y2z3w4") == []
+
+
 def test_secret_tables(docs, empty, clashing, spark):
     assert secret_scan.find_secrets(empty).collect() == [] and secret_scan.redact_secrets(empty).collect() == []
     assert secret_scan.find_secrets(clashing).count() == docs.count()
