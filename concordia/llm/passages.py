@@ -7,6 +7,7 @@ hashes of the windows it anchors: they are all that is shuffled, once, and singl
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,14 +36,14 @@ def sequence_digests(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.n
     return n, one, two
 
 
-def word_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def word_copies(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(texts, copies): (doc_id, n_words, d1, d2) of every row, and the (doc_id, n_words, rep) of rows
     whose word sequence also belongs to a smaller doc_id, rep being the smallest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words in word_runs(text_array(batch)):
-                n, one, two = sequence_digests(words, words.hashes())
+                n, one, two = sequence_digests(words, words.hashes(seed))
                 ids = batch.column(0).slice(words.rows.start, len(n))
                 yield pa.record_batch([ids, pa.array(n.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["doc_id", "n_words", "d1", "d2"])
 
@@ -89,7 +90,7 @@ class _Combiner:
             else:
                 self.known[key] = (int(doc[i]), int(start[i]), int(i), run)
         row = np.flatnonzero(keep)
-        values = pa.Array.from_buffers(pa.binary(), len(anchor), [None, pa.py_buffer((edges * 4).astype(np.int32)), pa.py_buffer(hashes)]).take(pa.array(row))
+        values = pa.Array.from_buffers(pa.binary(), len(anchor), [None, pa.py_buffer((edges * hashes.itemsize).astype(np.int32)), pa.py_buffer(hashes)]).take(pa.array(row))
         others = pa.array([np.array(more[i], "<i4").tobytes() if i in more else None for i in row.tolist()] if more else [None] * len(row), pa.binary())
         none = np.zeros(len(row), np.int64)
         plain = [pa.array(anchor[row].view(np.int64)), pa.array(doc[row]), pa.array(start[row].astype(np.int32)), values, others, pa.array(none.astype(np.int32)), pa.array(none), pa.array(none.astype(np.int32))]
@@ -103,10 +104,10 @@ class _Combiner:
         return pa.record_batch([pa.concat_arrays([x, y]) for x, y in zip(plain, done, strict=True)], _NAMES)
 
 
-def anchor_rows(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """(anchor, doc_id, start, windows, more, n_windows, owner, owner_start): ``windows`` has 4 bytes of
-    hash for each window from word ``start``; ``more`` has other places of the document with the same
-    windows. Rows with ``n_windows`` are finished runs, see ``_Combiner``.
+def anchor_rows(docs: DataFrame, window: int, k: int, width: int = 4, seed: int = 0) -> DataFrame:
+    """(anchor, doc_id, start, windows, more, n_windows, owner, owner_start): ``windows`` has ``width`` bytes
+    of hash for each window from word ``start``; ``more`` has other places of the document with the same
+    windows. Rows with ``n_windows`` are finished runs, see ``_Combiner``. ``seed`` chooses the words' hash.
 
     Within a batch, a text whose words a smaller doc_id has given already is passed over: it is a
     copy, and its words are known from the smaller one.
@@ -118,7 +119,7 @@ def anchor_rows(docs: DataFrame, window: int, k: int) -> DataFrame:
             seen: dict[tuple[int, int], int] = {}
             combiner = _Combiner()
             for number, words in enumerate(word_runs(text_array(batch))):
-                h = words.hashes()
+                h = words.hashes(seed)
                 n, one, two = sequence_digests(words, h)
                 own = ids[words.rows.start : words.rows.stop]
                 fresh = n >= window
@@ -139,15 +140,16 @@ def anchor_rows(docs: DataFrame, window: int, k: int) -> DataFrame:
                 new[1:] = (at[valid][1:] != at[valid][:-1]) | (of[1:] != of[:-1])
                 first = np.flatnonzero(new)
                 start = (valid - words.first[of])[first]
-                yield combiner.combine(number, grams[at[valid[first]]], own[of[first]], start, np.append(first, len(valid)), (whole[valid] >> _U(32)).astype("<u4"))
+                short = (whole[valid] >> _U(64 - 8 * width)).astype(f"<u{width}")
+                yield combiner.combine(number, grams[at[valid[first]]], own[of[first]], start, np.append(first, len(valid)), short)
 
     return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, _ROW)
 
 
-def recurring_runs(rows: DataFrame) -> DataFrame:
+def recurring_runs(rows: DataFrame, width: int = 4) -> DataFrame:
     """(doc_id, start, n_windows, owner, owner_start, row_start, finished): runs of windows that a smaller
     doc_id has too. The owner is the smallest one that has them or, in a finished run, the one that
-    its batch knew: ``smallest_owners`` looks further. ``rows`` come from ``anchor_rows``.
+    its batch knew: ``smallest_owners`` looks further. ``rows`` come from ``anchor_rows`` of this ``width``.
 
     One exchange by anchor; each partition is sorted and read as a stream. Of the group in which
     a batch ends, only the owners of its distinct windows are kept, not its rows.
@@ -172,11 +174,10 @@ def recurring_runs(rows: DataFrame) -> DataFrame:
             many[:-1] |= same
             many |= (anchor == anchor[-1]) | (anchor == open_anchor if open_anchor is not None else False)
             row = np.flatnonzero(many)
-            count = (edges[1:] - edges[:-1])[row] // 4
+            count = (edges[1:] - edges[:-1])[row] // width
             of = np.repeat(row, count)
             nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-            data = np.frombuffer(b"".join(v.as_buffer() for v in batch.column(3).take(pa.array(row))), "<u4")
-            short = data.astype(np.uint32)
+            short = np.frombuffer(b"".join(v.as_buffer() for v in batch.column(3).take(pa.array(row))), f"<u{width}")
             a, d, p = anchor[of], doc[of], start[of].astype(np.int64) + nth
             order = np.lexsort((short, a))
             first = np.ones(len(order), bool)
@@ -243,6 +244,40 @@ def joined_runs(runs: DataFrame) -> DataFrame:
     return runs.repartition(p, "doc_id").sortWithinPartitions("doc_id", "start").mapInArrow(run, runs.schema)
 
 
+def false_runs(runs: DataFrame, docs: DataFrame, window: int) -> DataFrame:
+    """Of (doc_id, start, n_windows, owner, owner_start), the runs whose words in the document are not those in
+    the owner's text, or stand in none of the rows of that id. Words are cut from the texts themselves and
+    compared by their SHA-256."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["run", "owned", "digest"]
+        for batch in batches:
+            spans = batch.column("spans")
+            edge = np.concatenate([[0], np.cumsum(pc.list_value_length(spans).to_numpy())])
+            number, owned, at, n = spans.flatten().flatten()
+            start, end = at.to_numpy(), at.to_numpy() + n.to_numpy()
+            kept, digests = [], []
+            for i, packed in enumerate(batch.column("packed")):
+                text = unpacked(packed.as_buffer().to_pybytes())
+                blank = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+                word = np.concatenate([[0], blank + 1, [len(text) + 1]]) if text else np.zeros(1, np.int64)
+                inside = edge[i] + np.flatnonzero(end[edge[i] : edge[i + 1]] < len(word))
+                kept.append(inside)
+                digests += [hashlib.sha256(text[a : b - 1]).digest() for a, b in zip(word[start[inside]].tolist(), word[end[inside]].tolist(), strict=True)]
+            row = pa.array(np.concatenate(kept)) if kept else pa.array([], pa.int64())
+            yield pa.record_batch([number.take(row), owned.take(row), pa.array(digests, pa.binary())], names)
+
+    numbered = materialize(runs.select("doc_id", "start", "n_windows", "owner", "owner_start").withColumn("run", F.monotonically_increasing_id()), "runs-to-verify")
+    n = F.col("n_windows") + window - 1
+    side = lambda doc, at, owned: numbered.select(F.col(doc).alias("doc_id"), F.struct("run", F.lit(owned).alias("owned"), F.col(at).alias("at"), n.alias("n")).alias("_span"))
+    spans = side("doc_id", "start", False).unionByName(side("owner", "owner_start", True)).groupBy("doc_id").agg(F.collect_list("_span").alias("spans"))
+    found = packed_texts(docs.where("doc_id is not null")).join(spans, "doc_id").select("packed", "spans").mapInArrow(run, "run long, owned boolean, digest binary")
+    own = F.collect_set(F.when(~F.col("owned"), F.col("digest")))
+    theirs = F.collect_set(F.when(F.col("owned"), F.col("digest")))
+    true = found.groupBy("run").agg(own.alias("_a"), theirs.alias("_b")).where(F.arrays_overlap("_a", "_b"))
+    return numbered.join(true.select("run"), "run", "left_anti").drop("run")
+
+
 def normal_texts(words: Words) -> list[bytes]:
     """Each text's words with one blank between."""
     if not len(words.start):

@@ -1,9 +1,10 @@
-"""Sparse suffix arrays: passages that repeat, found from suffixes at content-selected positions.
+"""Passages that repeat, found from content-selected positions and confirmed in the texts.
 
-Only the suffixes that begin at minimisers are retained: in any ``MIN_WORDS`` words one begins early
-enough that its first ``PREFIX`` words lie inside. Suffixes are sorted by those words (their hash) and
-compared with their neighbours; a match of neighbours is extended left and right as long as the
-windows around it agree, and matches that go on from one another are joined.
+No suffix array is built. As in a sparse one only the places of minimisers are retained: in any ``MIN_WORDS``
+words one begins early enough that its first ``PREFIX`` words lie inside. Rows of one such prefix meet by
+its hash, their windows by 64 bits of hash; runs of windows that a smaller doc_id has are then compared
+with the owner's words, all of them, and joined. Where a run is false the whole is done again by other hashes:
+equal windows always meet, so what is confirmed throughout is complete too.
 
 * null and empty texts, texts shorter than ``MIN_WORDS`` words: no passage; very long texts: whole
 * repeated rows: rows of one doc_id never repeat one another; alike rows give their spans once
@@ -19,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordia.llm.passages import anchor_rows, recurring_runs, smallest_owners, word_copies
+from concordia.llm.passages import anchor_rows, false_runs, joined_runs, recurring_runs, smallest_owners, word_copies
 from concordia.llm.storage import materialize, shuffle_partitions
 
 MIN_WORDS = 50
 PREFIX = 27
+#: Bytes of a window's hash.
+WIDTH = 8
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, prefix: int = PREFIX) -> DataFrame:
@@ -32,8 +35,17 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, prefix: int =
 
     ``start`` counts words from 0; ``first_doc_id`` is the smallest doc_id that has any of those runs.
     """
-    _, copies = word_copies(docs)
-    runs = materialize(recurring_runs(anchor_rows(docs, min_words, prefix)), "suffix-runs")
+    seed = 0
+    while True:
+        copies = materialize(word_copies(docs, seed)[1], "suffix-copies")
+        runs = materialize(recurring_runs(anchor_rows(docs, min_words, prefix, WIDTH, seed), WIDTH), "suffix-runs")
+        whole = copies.where(F.col("n_words") >= min_words)
+        whole = whole.select("doc_id", F.lit(0).cast("long").alias("start"), (F.col("n_words") - min_words + 1).alias("n_windows"), F.col("rep").alias("owner"), F.lit(0).cast("long").alias("owner_start"))
+        # Of a doc_id with several rows a run may go through two of them; then each window counts by itself.
+        doubtful = materialize(false_runs(joined_runs(runs).unionByName(whole), docs, min_words), "doubtful-runs")
+        if doubtful.isEmpty() or false_runs(single_windows(doubtful), docs, min_words).isEmpty():
+            break
+        seed += 1
     runs = smallest_owners(runs)
     # A copy repeats all of its first text, and whatever that repeats.
     before = runs.groupBy("doc_id").agg(F.min("owner").alias("_first")).withColumnRenamed("doc_id", "rep")
@@ -43,6 +55,12 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, prefix: int =
     return extended(parts.unionByName(whole))
 
 
+def single_windows(runs: DataFrame) -> DataFrame:
+    """Each window of runs as a run."""
+    each = runs.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_windows") - 1)))
+    return each.select("doc_id", (F.col("start") + F.col("_i")).alias("start"), F.lit(1).cast("long").alias("n_windows"), "owner", (F.col("owner_start") + F.col("_i")).alias("owner_start"))
+
+
 def extended(parts: DataFrame) -> DataFrame:
     """Overlapping and touching stretches of a document as one, a stream over sorted rows."""
     names = ["doc_id", "start", "n_words", "first_doc_id"]

@@ -6,6 +6,7 @@ follows the run, or the longest single text, and not the batch.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -61,10 +62,15 @@ class Words:
     first: np.ndarray
     rows: range  # the batch's rows that the run holds
 
-    def hashes(self) -> np.ndarray:
-        """64 bits for each word, from its bytes and length."""
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """64 bits for each word, from its bytes and length; with a seed, by a keyed BLAKE2b, a word at a time."""
         if not len(self.start):
             return np.zeros(0, np.uint64)
+        if seed:
+            raw, key, known = self.data.tobytes(), seed.to_bytes(8, "little"), {}
+            for word in {raw[a:b] for a, b in zip(self.start.tolist(), self.end.tolist(), strict=True)}:
+                known[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=key).digest(), "little")
+            return np.array([known[raw[a:b]] for a, b in zip(self.start.tolist(), self.end.tolist(), strict=True)], np.uint64)
         up, down = _Powers.of(len(self.data) + 1)
         sums = np.empty(len(self.data) + 1, np.uint64)
         sums[0] = 0

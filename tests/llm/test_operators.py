@@ -10,13 +10,14 @@ from fractions import Fraction
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
-from concordia.llm import canonical_digest, huffman, language_id, media, mixing, ngram_join, packing, phrase_automata, secret_scan, sparse_suffix
+from concordia.llm import canonical_digest, huffman, language_id, media, mixing, ngram_join, packing, passages, phrase_automata, secret_scan, sparse_suffix, text_kernel
 from concordia.llm.queries import tokenizer
 
 WORD_BPE, BYTE_BPE = tokenizer("word_bpe_49k.json"), tokenizer("byte_bpe_50k.json")
@@ -246,6 +247,40 @@ def test_a_passage_that_most_documents_share(spark, window):
         check_passages(rows, sparse_suffix.repeated_passages(docs).collect())
 
 
+def test_passages_that_agree_in_half_a_hash_are_told_apart(spark):
+    """Two windows under one anchor, equal in 32 bits of their hash and not in their words."""
+    rng = random.Random(50)
+    shared = " ".join(f"s{i}" for i in range(40))
+    texts = [f"{shared} " + " ".join(f"{rng.randrange(1 << 20):x}" for _ in range(10)) for _ in range(200_000)]
+    seen, pairs = {}, []
+    run, = text_kernel.word_runs(pa.array(texts, pa.large_string()), run_bytes=1 << 30)
+    hashes = run.hashes()
+    whole = text_kernel.joined_hashes(hashes, 50)[::50]
+    grams = text_kernel.joined_hashes(hashes, 27)
+    for i, h in enumerate((whole >> np.uint64(32)).tolist()):
+        own = grams[50 * i : 50 * i + 24]
+        j = seen.setdefault((h, int(own.min())), i)
+        if j != i:
+            pairs.append((j, i))
+    assert pairs
+    rows = [(2 * n + side, texts[i]) for n, pair in enumerate(pairs) for side, i in enumerate(pair)]
+    rows.append((len(rows), texts[pairs[0][1]]))
+    check_passages(rows, sparse_suffix.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_false_runs_are_seen(spark):
+    docs = spark.createDataFrame([(0, "a b c d e"), (1, "x  a b\nc"), (2, ""), (None, "a b c")], "doc_id long, text string")
+    runs = [(1, 1, 2, 0, 0), (1, 0, 2, 0, 0), (1, 2, 1, 0, 1), (1, 2, 2, 0, 1), (1, 1, 1, 2, 0)]
+    frame = spark.createDataFrame(runs, "doc_id long, start long, n_windows long, owner long, owner_start long")
+    assert {tuple(r) for r in passages.false_runs(frame, docs, 2).collect()} == {runs[1], runs[3], runs[4]}
+
+
+def test_a_seeded_hash_gives_the_same_passages(docs, rows):
+    found = passages.recurring_runs(passages.anchor_rows(docs, 50, 27, 8, 3), 8)
+    assert {r.doc_id for r in found.collect()} <= {r.doc_id for r in sparse_suffix.repeated_passages(docs).collect()}
+    assert passages.false_runs(found, docs, 50).isEmpty()
+
+
 # --- fingerprints
 
 
