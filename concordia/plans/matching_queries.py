@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from concordia.functions import values
 from concordia.functions.grams import grams, words
-from concordia.functions.similarity import score
 from concordia.operators import lines as ln
 from concordia.operators import matching as op
 from concordia.plans.line_queries import _LINES
@@ -169,17 +168,10 @@ def levenshtein_prefilter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fuzzy_topk_ratio(spark: SparkSession, d: str) -> DataFrame:
-    """For each passage its five most similar document lines, among those that share three words in a row."""
-    items = table(spark, d, "benchmark")
-    lines = ln.line_units(table(spark, d, "documents")).where("length(line) >= 20")
-
-    def keys(text: str) -> Column:
-        return F.explode(F.array_distinct(F.transform(grams(words(F.lower(text)), 3), lambda g: F.xxhash64(g))))
-
-    left = items.select("item_id", F.col("text").alias("passage"), keys("text").alias("_k"))
-    right = lines.select("line", keys("line").alias("_k")).distinct()
-    pairs = left.join(right, "_k").select("item_id", "passage", "line").distinct()
-    scored = pairs.select("item_id", "line", F.round(score("ratio", F.col("passage"), F.col("line")), 4).alias("score"))
+    """For each passage its five most similar document lines, of all lines."""
+    items = [(r.item_id, r.text) for r in table(spark, d, "benchmark").select("item_id", "text").distinct().collect()]
+    found = op.best_ratios(ln.line_units(table(spark, d, "documents")), items, 5, 30.0)
+    scored = found.select("item_id", "line", F.round("ratio", 4).alias("score"))
     return op.top_k(scored.where("score >= 30"), ["item_id"], [F.col("score").desc(), F.col("line")], 5)
 
 

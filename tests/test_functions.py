@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from concordia.functions import normalize, numbering, similarity, values
 from concordia.operators import aggregates, cells, evidence, lifecycle, lines, matching
+from concordia.plans import matching_queries
 
 
 def column(spark, texts, make):
@@ -194,3 +195,27 @@ def test_windows_and_codes(spark):
 def test_lcs_of_long_texts_is_fast():
     a = "".join(random.Random(1).choices("abcdef", k=4000))
     assert similarity.lcs_length(a, a[::-1]) > 1000 and np.isfinite(similarity.ratio(a, a[::-1]))
+
+
+def test_best_lines_against_all_pairs(spark, tmp_path):
+    """Lines without three common words, short ones and ties are scored like all others."""
+    rng = random.Random(4)
+    words = ["payment", "is", "due", "within", "thirty", "days", "of", "receipt", "ok", "no", "中文", "notice"]
+    passages = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 12)))) for i in range(40)] + [(40, ""), (41, None), (42, "x" * 70)]
+    lines = []
+    for _, p in passages[:40]:
+        w = p.split(" ")
+        lines += [" ".join(x + "s" if i % 3 == 2 else x for i, x in enumerate(w)), p[::-1], p[:7]]
+    lines += [" ".join(rng.choice(words) for _ in range(rng.randint(1, 20))) for _ in range(200)] + ["x" * 69, "x" * 400, "y" * 900]
+    docs = [(i, "\n".join(lines[i::7])) for i in range(7)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(passages, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = {}
+    for r in sorted(matching_queries.fuzzy_topk_ratio(spark, str(tmp_path)).collect(), key=lambda r: (r.item_id, r["rank"])):
+        found.setdefault(r.item_id, []).append((r.score, r.line))
+    want = {}
+    for i, p in passages:
+        scored = sorted((-round(similarity.ratio(p or "", x), 4), x) for x in {x.strip() for x in lines} - {""})
+        if top := [(-s, x) for s, x in scored if -s >= 30][:5]:
+            want[i] = top
+    assert found == want
