@@ -12,7 +12,7 @@ from concordia.functions.similarity import change_ranges
 from concordia.operators import cells as ce
 from concordia.operators import lifecycle as lc
 from concordia.operators import lines as ln
-from concordia.sources.tables import table
+from concordia.sources.tables import shared_folder, table
 from concordia.streaming.progress import latest_progress, run_available
 
 
@@ -174,15 +174,14 @@ def text_diff_ranges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def progress_latest(spark: SparkSession, d: str) -> DataFrame:
-    return latest_progress(table(spark, d, "events"), "user_id", "event_id", "event_type")
+    return latest_progress(table(spark, d, "events"), "user_id", "event_id", "event_type", ["purchase"])
 
 
 def stream_progress_latest(spark: SparkSession, d: str) -> DataFrame:
     """The same states, from the event table read as a stream."""
     schema = table(spark, d, "events").schema
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
-    base = f"{shared}/concordia/progress-{uuid.uuid4().hex}"
-    return run_available(spark, d, schema, "user_id", "event_id", "event_type", f"{base}/out", f"{base}/state", "events.parquet")
+    base = f"{shared_folder(spark)}/concordia/progress-{uuid.uuid4().hex}"
+    return run_available(spark, d, schema, "user_id", "event_id", "event_type", f"{base}/out", f"{base}/state", "events.parquet", ["purchase"])
 
 
 _PROGRESS = """with t as (select user_id, min(event_id) filter (where event_type = 'purchase') as t, max(event_id) as m, max(least(value, 99.0)) filter (where event_type <> 'purchase') as p from events group by 1)

@@ -2,8 +2,29 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+#: Used only by a session on one machine that names no shared folder, as in tests.
+LOCAL_FOLDER = "/tmp/checkpoints"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    Where it is unset, a session on one machine gets a local folder; on a cluster that is an error, as
+    each executor would write to its own disk.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[[^]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder shared by driver and executors (master {master})")
+    spark.sparkContext.setCheckpointDir(LOCAL_FOLDER)
+    return f"file://{LOCAL_FOLDER}"

@@ -47,7 +47,8 @@ def test_query(spark, oracle, name):
     assert sorted(str([plain(v) for v in r]) for r in rows) == sorted(str([plain(r[i]) for i in at]) for r in want.fetchall())
 
 
-def test_entry_module_works_without_the_llm_folders(tmp_path):
+@pytest.mark.parametrize("with_pipeline", [True, False])
+def test_entry_module_works_without_the_llm_folders(tmp_path, with_pipeline):
     import shutil
     import subprocess
     import sys
@@ -55,5 +56,6 @@ def test_entry_module_works_without_the_llm_folders(tmp_path):
     root = Path(__file__).resolve().parent.parent
     shutil.copytree(root / "concordia", tmp_path / "concordia", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
+    shutil.copy(root / "corpus_pipeline.py", tmp_path) if with_pipeline and (root / "corpus_pipeline.py").exists() else None
     code = "import __spark_entry__ as e; q = e.queries(); assert 'flagship_line_changes' in q and not any(n[:2] == 'op' and n[2].isdigit() or n == 'pipeline' for n in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
