@@ -113,23 +113,6 @@ def stage_timings(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("count"), F.bround(F.sum(F.col("value").cast("decimal(20,4)")), 4).cast("double").alias("total"), F.max("value").alias("max"))
 
 
-def neighbor_score(spark: SparkSession, d: str) -> DataFrame:
-    """Likeness of the orders before and after, by priority, averaged over those that exist."""
-    window = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    same = lambda c: F.when(c.isNull(), None).when(c == F.col("o_orderpriority"), 100.0).when(F.substring(c, 1, 1) == F.substring("o_orderpriority", 1, 1), 70.0).otherwise(0.0)
-    rows = table(spark, d, "orders").select("o_orderkey", same(F.lag("o_orderpriority").over(window)).alias("a"), same(F.lead("o_orderpriority").over(window)).alias("b"))
-    n = F.col("a").isNotNull().cast("int") + F.col("b").isNotNull().cast("int")
-    return rows.select("o_orderkey", F.when(n == 0, 0.0).otherwise((F.coalesce("a", F.lit(0.0)) + F.coalesce("b", F.lit(0.0))) / n).alias("score"))
-
-
-def position_score(spark: SparkSession, d: str) -> DataFrame:
-    """100 less 180 for each whole of difference between the ranks by date and by price of a customer's orders."""
-    by = lambda c: F.row_number().over(Window.partitionBy("o_custkey").orderBy(c, "o_orderkey"))
-    n = F.count("*").over(Window.partitionBy("o_custkey"))
-    rows = table(spark, d, "orders").select("o_orderkey", by("o_orderdate").alias("a"), by("o_totalprice").alias("b"), n.alias("n"))
-    return rows.select("o_orderkey", F.bround(F.greatest(F.lit(0.0), 100 - 180 * F.abs(F.col("a") - F.col("b")) / F.col("n")), 6).alias("score"))
-
-
 def contiguous_event_groups(spark: SparkSession, d: str) -> DataFrame:
     """Successive events of a user of one type, broken by any other."""
     window = Window.partitionBy("user_id").orderBy("event_id")
@@ -258,11 +241,6 @@ e as (select l_orderkey, "column", count(distinct l_linenumber) as covered from
 r as (select *, row_number() over (partition by family order by n desc, length(line) desc, encode(line) desc) as r, sum(n) over (partition by family) as total from s) select family, total::bigint as n, line as representative from r where r = 1"""),
     "observation_aggregation": (observation_aggregation, "select source, case when bool_or(quality is null) then 'UNOBSERVED' when bool_or(quality = 1) then 'OBSERVED_VALUE' else 'OBSERVED_BLANK' end as state from documents left join labels on documents.doc_id = labels.doc_id group by 1"),
     "stage_timings": (stage_timings, 'select event_type, count(*) as "count", sum(value::decimal(20,4))::double as total, max(value) as "max" from events group by 1'),
-    "neighbor_score": (neighbor_score, """with n as (select o_orderkey, o_orderpriority as p, lag(o_orderpriority) over w as x, lead(o_orderpriority) over w as y from orders window w as (partition by o_custkey order by o_orderkey)),
-s as (select o_orderkey, case when x is null then null when x = p then 100.0 when x[1:1] = p[1:1] then 70.0 else 0.0 end as a, case when y is null then null when y = p then 100.0 when y[1:1] = p[1:1] then 70.0 else 0.0 end as b from n)
-select o_orderkey, (case when a is null and b is null then 0.0 else (coalesce(a, 0) + coalesce(b, 0)) / ((a is not null)::int + (b is not null)::int) end)::double as score from s"""),
-    "position_score": (position_score, """with r as (select o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as a, row_number() over (partition by o_custkey order by o_totalprice, o_orderkey) as b, count(*) over (partition by o_custkey) as n from orders)
-select o_orderkey, round_even(greatest(0.0::double, 100 - 180 * abs(a - b)::double / n), 6) as score from r"""),
     "contiguous_event_groups": (contiguous_event_groups, """with n as (select *, case when lag(event_type) over (partition by user_id order by event_id) <> event_type then 1 else 0 end as new from events),
 g as (select *, sum(new) over (partition by user_id order by event_id) as g from n) select user_id, event_type, min(event_id) as first, max(event_id) as last, count(*) as n from g group by user_id, event_type, g"""),
     "page_number_sequence": (page_number_sequence, """with p as (select *, row_number() over w as page, lag(o_orderkey) over w as a, lead(o_orderkey) over w as b from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey))

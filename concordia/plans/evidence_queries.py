@@ -100,15 +100,6 @@ def region_counterpart(spark: SparkSession, d: str) -> DataFrame:
     return ev.counterparts(regions, blocks, "region", "block", 3.0, 0.05)
 
 
-def match_risk_flags(spark: SparkSession, d: str) -> DataFrame:
-    """Guard flags of scored pairs, the method label and the confidence, each by ordered rules."""
-    body, title, key = F.col("p_partkey") % 101, F.col("p_size") * 2, F.col("p_partkey") % 3 == 0
-    flags = F.array_compact(F.array(F.when(key & (body < 45), "SAME_KEY_LOW_BODY"), F.when(~key & (body >= 80) & (title < 30), "BODY_ONLY"), F.when((title >= 80) & (body < 50), "TITLE_ONLY")))
-    method = ln.first_reason(("key", key & (body >= 45)), ("title", title >= 80), ("body", body >= 78), default="weak")
-    confidence = F.when(F.size(flags) > 1, "LOW").when((F.size(flags) == 1) | (method == "weak"), "MEDIUM").otherwise("NORMAL")
-    return table(spark, d, "part").select("p_partkey", F.array_join(flags, ",").alias("flags"), method.alias("method"), confidence.alias("confidence"))
-
-
 def evidence_consensus(spark: SparkSession, d: str) -> DataFrame:
     """Readings of a brand's parts by two sources: agreement within and across."""
     rows = table(spark, d, "part").where("p_size <= 12").select("p_brand", F.when(F.col("p_partkey") % 2 == 0, "original").otherwise("compare").alias("side"), F.col("p_type").alias("reading"))
@@ -302,10 +293,6 @@ select case when i is not null then 'ITEM' when p is not null then 'DIFF' else '
 b as (select counter, min(p_partkey) as compare from c where p_partkey % 2 = 1 group by 1 having count(*) = 1) select a.counter, original, compare from a join b on a.counter = b.counter"""),
     "region_counterpart": (region_counterpart, """with s as (select s_suppkey as region, p_partkey as block, round_even(1 - (abs(s_nationkey * 2.0::double - p_partkey % 50) + abs(s_suppkey % 40 - p_size)) / 6.0::double, 6) as score from supplier join part on abs(s_nationkey * 2 - p_partkey % 50) <= 3 and abs(s_suppkey % 40 - p_size) <= 3),
 r as (select *, row_number() over w as r, lead(score) over w as next from s window w as (partition by region order by score desc, block)) select region, block, score from r where r = 1 and (next is null or score - next >= 0.05)"""),
-    "match_risk_flags": (match_risk_flags, """with s as (select p_partkey, p_partkey % 101 as b, p_size * 2 as t, p_partkey % 3 = 0 as k from part),
-f as (select *, list_filter([case when k and b < 45 then 'SAME_KEY_LOW_BODY' end, case when not k and b >= 80 and t < 30 then 'BODY_ONLY' end, case when t >= 80 and b < 50 then 'TITLE_ONLY' end], lambda x: x is not null) as f,
-  case when k and b >= 45 then 'key' when t >= 80 then 'title' when b >= 78 then 'body' else 'weak' end as method from s)
-select p_partkey, array_to_string(f, ',') as flags, method, case when len(f) > 1 then 'LOW' when len(f) = 1 or method = 'weak' then 'MEDIUM' else 'NORMAL' end as confidence from f"""),
     "evidence_consensus": (evidence_consensus, """with r as (select p_brand, list_sort(list(distinct p_type) filter (where p_partkey % 2 = 0)) as a, list_sort(list(distinct p_type) filter (where p_partkey % 2 = 1)) as b from part where p_size <= 12 group by 1)
 select p_brand, case when a is null or b is null then 'UNKNOWN' when len(a) > 1 or len(b) > 1 then 'CONFLICT' when a = b then 'EQUIVALENT' else 'DIFFERENT' end as consensus from r"""),
     "text_equivalence": (text_equivalence, "select case o_orderkey % 5 when 0 then 'IDENTICAL' when 1 then 'WHITE_SPACE' when 2 then 'PUNCTUATION' when 3 then 'PROTECTED_SIGN' else 'DIFFERENT' end as reason, count(*) as n, min(o_orderkey) as first from orders group by 1"),

@@ -143,24 +143,6 @@ def business_token_score(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("o_orderkey", F.bround("score", 2).alias("score"))
 
 
-def body_score_caps(spark: SparkSession, d: str) -> DataFrame:
-    """Loose scores are capped where the shorter text covers little of the longer one."""
-    rows = table(spark, d, "part").select("p_partkey", (F.col("p_size") * 2.0).alias("full"), (F.col("p_partkey") % 101 * 1.0).alias("token"), (F.col("p_partkey") % 97 * 1.0).alias("partial"), F.col("p_size").alias("short"), (F.col("p_size") + F.col("p_partkey") % 40).alias("long"))
-    coverage = F.col("short") / F.col("long")
-    cap = F.when(F.col("short") < 8, 60.0).when(coverage < 0.5, 70.0).when(coverage < 0.7, 82.0).when(coverage < 0.85, 92.0).otherwise(100.0)
-    return rows.select("p_partkey", F.greatest("full", F.least("token", cap), F.least("partial", cap)).alias("body_score"))
-
-
-def weighted_score(spark: SparkSession, d: str) -> DataFrame:
-    """The weights of a match score over scores derived from parts, with its floor and cap."""
-    of = lambda m: (F.col("p_partkey") % m) * 100.0 / (m - 1)
-    parts = [(0.16, of(2)), (0.05, of(3)), (0.10, of(4)), (0.14, of(5)), (0.18, of(7)), (0.32, of(11)), (0.07, of(13)), (0.06, of(17)), (0.05, of(19))]
-    total = sum((w * s for w, s in parts), F.lit(0.0))
-    capped = F.when((of(4) < 100) & (of(11) < 90), F.least(total, F.lit(72.0))).otherwise(total)
-    floored = F.when((of(2) == 100) & (of(11) >= 45), F.greatest(capped, 88.0 + F.least(F.lit(12.0), of(11) * 0.12))).otherwise(capped)
-    return table(spark, d, "part").select("p_partkey", F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), floored)), 6).alias("score"))
-
-
 def levenshtein_prefilter(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "part").select("p_name").distinct()
     a, b = names.select(F.col("p_name").alias("a"), F.substring("p_name", 1, 3).alias("_k")), names.select(F.col("p_name").alias("b"), F.substring("p_name", 1, 3).alias("_k"))
@@ -270,14 +252,6 @@ select coalesce(c_custkey, key) as key, c_mktsegment, orders, case when key is n
 p as (select doc_id, w, lead(w) over (partition by source order by doc_id) as o from w)
 select doc_id, round_even(len(list_intersect(w, o)) * 1.0::double / len(list_distinct(list_concat(w, o))), 6) as jaccard from p where o is not null"""),
     "business_token_score": (business_token_score, """select o_orderkey, case when o_custkey % 7 = o_custkey % 5 then 100.0 else 50.0 end::double as score from orders"""),
-    "body_score_caps": (body_score_caps, """with r as (select p_partkey, p_size * 2.0 as f, p_partkey % 101 as t, p_partkey % 97 as q, p_size as s, p_size + p_partkey % 40 as l from part),
-c as (select *, case when s < 8 then 60 when s / l < 0.5 then 70 when s / l < 0.7 then 82 when s / l < 0.85 then 92 else 100 end as cap from r)
-select p_partkey, greatest(f, least(t, cap), least(q, cap))::double as body_score from c"""),
-    "weighted_score": (weighted_score, """with m as (select p_partkey, (p_partkey % 2) * 100.0::double as a, (p_partkey % 3) * 100.0::double / 2 as b, (p_partkey % 4) * 100.0::double / 3 as c, (p_partkey % 5) * 100.0::double / 4 as e,
-  (p_partkey % 7) * 100.0::double / 6 as f, (p_partkey % 11) * 100.0::double / 10 as g, (p_partkey % 13) * 100.0::double / 12 as h, (p_partkey % 17) * 100.0::double / 16 as i, (p_partkey % 19) * 100.0::double / 18 as j from part),
-t as (select *, 0.16::double * a + 0.05::double * b + 0.10::double * c + 0.14::double * e + 0.18::double * f + 0.32::double * g + 0.07::double * h + 0.06::double * i + 0.05::double * j as t from m),
-k as (select *, case when c < 100 and g < 90 then least(t, 72.0::double) else t end as k from t)
-select p_partkey, round_even(greatest(0.0::double, least(100.0::double, case when a = 100 and g >= 45 then greatest(k, 88.0::double + least(12.0::double, g * 0.12::double)) else k end)), 6)::double as score from k"""),
     "levenshtein_prefilter": (levenshtein_prefilter, """with n as (select distinct p_name from part)
 select x.p_name as a, y.p_name as b, levenshtein(x.p_name, y.p_name)::bigint as distance from n x join n y on x.p_name[1:3] = y.p_name[1:3] and x.p_name < y.p_name where levenshtein(x.p_name, y.p_name) <= 5"""),
     "fuzzy_topk_ratio": (fuzzy_topk_ratio, None),

@@ -93,7 +93,6 @@ def test_similarity_against_definitions():
     assert similarity.ratio("", "") == 100 and similarity.ratio("", "x") == 0
     assert similarity.partial_ratio("abc", "xxabcxx") == 100
     assert similarity.token_set_ratio("b a", "a b c") == 100
-    assert similarity.body_score(50, 95, 90, 5, 100) == 60
 
 
 def test_change_ranges_rebuild_the_text():
