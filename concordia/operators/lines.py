@@ -18,22 +18,36 @@ def without_page_numbers(lines: DataFrame) -> DataFrame:
     return lines.where(~is_page_number(F.col("line")))
 
 
-def rare_lines(lines: DataFrame, least: int, most: int, min_length: int) -> DataFrame:
-    """(doc_id, line): distinct lines long enough, in at least ``least`` and at most ``most`` documents.
+def first_with(lines: DataFrame) -> DataFrame:
+    """(left, right): each document with the smallest other that has the same line. ``lines``: doc_id, line."""
+    first = lines.groupBy("line").agg(F.min("doc_id").alias("left"), F.max("doc_id").alias("_last")).where("left < _last")
+    return lines.join(first, "line").where(F.col("doc_id") > F.col("left")).select("left", F.col("doc_id").alias("right")).distinct()
 
-    A line that very many documents share says nothing about versions; it is no link by definition.
-    """
-    distinct = lines.where(F.length("line") >= min_length).select("doc_id", "line").distinct()
-    frequency = distinct.groupBy("line").agg(F.count("*").alias("df")).where((F.col("df") >= least) & (F.col("df") <= most))
-    return distinct.join(frequency.select("line"), "line").select("doc_id", "line")
 
+def version_pairs(lines: DataFrame, p: int = 1, q: int = 2) -> DataFrame:
+    """(original_id, compare_id, shared): each document with the earlier one (smaller doc_id) whose distinct lines are
+    most alike, if the Jaccard share of the lines is p/q or more; of equal ones the smallest.
 
-def version_pairs(lines: DataFrame, min_shared: int = 3, most: int = 20, min_length: int = 20) -> DataFrame:
-    """(original_id, compare_id, shared): documents that share rare lines, the smaller id first."""
-    rare = rare_lines(lines, 2, most, min_length)
-    a, b = rare.select(F.col("doc_id").alias("original_id"), "line"), rare.select(F.col("doc_id").alias("compare_id"), "line")
-    pairs = a.join(b, "line").where("original_id < compare_id").groupBy("original_id", "compare_id").agg(F.count("*").alias("shared"))
-    return pairs.where(F.col("shared") >= min_shared)
+    No line is too frequent to count. Documents with the same lines are one class, and only the smallest of each
+    class is searched: of its lines in order of frequency the first n - ceil(np/q) + 1 hold one of every
+    partner's first ones, so a line that many share makes candidates only of documents that have little else.
+    """
+    distinct = lines.select("doc_id", F.md5("line").alias("line")).distinct()
+    sets = distinct.groupBy("doc_id").agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("line")), "")).alias("set"))
+    classes = sets.groupBy("set").agg(F.min("doc_id").alias("rep"))
+    copies = sets.join(classes, "set").where("doc_id > rep").select(F.col("rep").alias("original_id"), F.col("doc_id").alias("compare_id"), F.col("n").alias("shared"))
+    reps = distinct.join(sets.join(classes, "set").where("doc_id = rep").select("doc_id", "n"), "doc_id")
+    frequency = reps.groupBy("line").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "line"))
+    prefix = reps.join(frequency, "line").withColumn("_r", place).where(F.col("_r") <= F.col("n") - F.ceil(F.col("n") * p / q) + 1).where("df > 1")
+    side = lambda df, doc, n: df.select(F.col("doc_id").alias(doc), F.col("n").alias(n), "line")
+    close = (F.col("a") < F.col("b")) & (F.least("n_a", "n_b") * q >= F.greatest("n_a", "n_b") * p)
+    candidates = side(prefix, "a", "n_a").join(side(prefix, "b", "n_b"), "line").where(close).select("a", "n_a", "b", "n_b").distinct()
+    one, two = reps.select(F.col("doc_id").alias("a"), "line"), reps.select(F.col("doc_id").alias("b"), "line")
+    common = candidates.join(one, "a").join(two, ["b", "line"]).groupBy("a", "n_a", "b", "n_b").agg(F.count("*").alias("shared"))
+    union = F.col("n_a") + F.col("n_b") - F.col("shared")
+    best = common.where(F.col("shared") * q >= union * p).groupBy("b").agg(F.max_by(F.struct(F.col("a").alias("original_id"), "shared"), F.struct(F.col("shared") / union, -F.col("a"))).alias("_m"))
+    return best.select("_m.original_id", F.col("b").alias("compare_id"), "_m.shared").unionByName(copies)
 
 
 def line_changes(lines: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -208,10 +208,11 @@ def glyph_regions(spark: SparkSession, d: str) -> DataFrame:
     """Order lines as glyphs; the region of their part's brand that owns their centre, the first by size."""
     glyphs = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     glyphs = glyphs.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p_brand", F.col("l_quantity").alias("c"))
-    regions = table(spark, d, "part").where("p_partkey % 10 = 0").select("p_brand", F.col("p_partkey").alias("region"), F.col("p_size").cast("double").alias("lo"), (F.col("p_size") + 8.0).alias("hi"))
-    owned = glyphs.join(regions, "p_brand").where("c >= lo and c < hi")
-    best = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "c").orderBy("lo", "region"))
-    return owned.withColumn("_r", best).where("_r = 1").groupBy("region").agg(F.count("*").alias("glyphs"))
+    # Of regions at the same place the first owns all: one for each brand and size.
+    regions = table(spark, d, "part").groupBy("p_brand", F.col("p_size").cast("double").alias("lo")).agg(F.min("p_partkey").alias("region"))
+    owned = glyphs.join(regions, "p_brand").where("c >= lo and c < lo + 8")
+    best = owned.groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "c").agg(F.min(F.struct("lo", "region")).alias("_o"))
+    return best.groupBy(F.col("_o.region").alias("region")).agg(F.count("*").alias("glyphs"))
 
 
 def conservation_check(spark: SparkSession, d: str) -> DataFrame:
@@ -316,7 +317,7 @@ union all select c_custkey, 'segment', case when c_custkey % 9 = 0 then 'DELETE'
 g as (select *, sum(new) over (partition by user_id order by event_id) as g from n)
 select user_id, min(event_id) as first, case when side = 'compare' then 'ADD' else 'DELETE' end as direction, count(*) as members, 'E-' || sha256('{"k0":' || user_id || ',"k1":' || min(event_id) || '}')[1:24] as id from g group by user_id, g, side"""),
     "review_projection": (review_projection, """with s as (select user_id, case when value > 70 then 'CONFIRMED' when value < 5 then 'IGNORED' else 'PENDING' end as s from events) select user_id, case when count(distinct s) > 1 then 'NEEDS_REVIEW' else min(s) end as status from s group by 1"""),
-    "glyph_regions": (glyph_regions, """with g as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity as c, p.p_brand from lineitem join part p on p_partkey = l_partkey), r as (select p_brand, p_partkey as region, p_size as lo from part where p_partkey % 10 = 0),
+    "glyph_regions": (glyph_regions, """with g as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity as c, p.p_brand from lineitem join part p on p_partkey = l_partkey), r as (select p_brand, p_partkey as region, p_size as lo from part),
 o as (select region, row_number() over (partition by l_orderkey, l_linenumber, l_partkey, l_suppkey, c order by lo, region) as n from g join r on g.p_brand = r.p_brand and c >= lo and c < lo + 8) select region, count(*) as glyphs from o where n = 1 group by 1"""),
     "conservation_check": (conservation_check, "select 0::bigint as lost, 0::bigint as made"),
     "baseline_lines": (baseline_lines, """with b as (select p_brand, p_partkey, p_size * 3.0::double as lo, p_size * 3.0::double + p_partkey % 4 as hi from part), n as (select *, case when lo - max(hi) over (partition by p_brand order by lo, hi, p_partkey rows between unbounded preceding and 1 preceding) <= 0.5 then 0 else 1 end as new from b),

@@ -29,9 +29,9 @@ def flagship_line_changes(spark: SparkSession, d: str) -> DataFrame:
 
 FLAGSHIP = f"""
 with {_LINES},
-u as (select distinct doc_id, line from lines),
-rare as (select doc_id, line from u where length(line) >= 20 and line in (select line from u group by line having count(*) between 2 and 20)),
-pairs as (select a.doc_id as original_id, b.doc_id as compare_id from rare a join rare b on a.line = b.line and a.doc_id < b.doc_id group by 1, 2 having count(*) >= 3),
+u as (select distinct doc_id, line from lines), nu as (select doc_id, count(*) as n from u group by 1),
+cu as (select a.doc_id as o, b.doc_id as c, count(*) as s from u a join u b on a.line = b.line and a.doc_id < b.doc_id group by 1, 2),
+pairs as (select o as original_id, c as compare_id, row_number() over (partition by c order by s::double / (x.n + y.n - s) desc, o) as r from cu join nu x on x.doc_id = o join nu y on y.doc_id = c where 2 * s >= x.n + y.n - s qualify r = 1),
 l as (select original_id, compare_id, line from pairs join u on doc_id = original_id),
 r as (select original_id, compare_id, line from pairs join u on doc_id = compare_id),
 f as (select coalesce(l.original_id, r.original_id) as original_id, coalesce(l.compare_id, r.compare_id) as compare_id,

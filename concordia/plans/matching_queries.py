@@ -72,34 +72,27 @@ c as (select c_custkey, c_nationkey, row_number() over w as i, row_number() over
 
 
 def candidate_union(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of documents by three recall sources: same opening, same closing line, shared rare lines."""
+    """Pairs of documents by three recall sources: the first with the same opening, the first with the same closing
+    line, and the earlier version most alike in its lines."""
     lines = ln.line_units(table(spark, d, "documents"))
-    window = Window.partitionBy("doc_id").orderBy(F.col("line_no").desc())
-    opening = lines.where("line_no = 0 and length(line) >= 20").select("doc_id", "line")
-    closing = lines.withColumn("_r", F.row_number().over(window)).where("_r = 1 and length(line) >= 20").select("doc_id", "line")
-
-    def pairs(df: DataFrame) -> DataFrame:
-        rare = ln.rare_lines(df, 2, 20, 20)
-        return rare.alias("a").join(rare.alias("b"), "line").where("a.doc_id < b.doc_id").select(F.col("a.doc_id").alias("left"), F.col("b.doc_id").alias("right"))
-
-    shared = ln.version_pairs(lines).select(F.col("original_id").alias("left"), F.col("compare_id").alias("right"))
-    found = op.candidate_union({"opening": pairs(opening), "closing": pairs(closing), "lines": shared}, "left", "right")
+    ends = lines.groupBy("doc_id").agg(F.min_by("line", "line_no").alias("opening"), F.max_by("line", "line_no").alias("closing"))
+    first = lambda end: ln.first_with(ends.select("doc_id", F.col(end).alias("line")))
+    versions = ln.version_pairs(lines).select(F.col("original_id").alias("left"), F.col("compare_id").alias("right"))
+    found = op.candidate_union({"opening": first("opening"), "closing": first("closing"), "lines": versions}, "left", "right")
     return found.select("left", "right", F.array_join("sources", ",").alias("sources"))
 
 
 CANDIDATES = f"""
 with {_LINES},
-o as (select doc_id, line from lines where line_no = 0 and length(line) >= 20),
-c as (select doc_id, line from (select *, row_number() over (partition by doc_id order by line_no desc) as r from lines) where r = 1 and length(line) >= 20),
-u as (select distinct doc_id, line from lines where length(line) >= 20),
-ro as (select * from o where line in (select line from o group by line having count(*) between 2 and 20)),
-rc as (select * from c where line in (select line from c group by line having count(*) between 2 and 20)),
-ru as (select * from u where line in (select line from u group by line having count(*) between 2 and 20)),
+u as (select distinct doc_id, line from lines), nu as (select doc_id, count(*) as n from u group by 1),
+cu as (select a.doc_id as o, b.doc_id as c, count(*) as s from u a join u b on a.line = b.line and a.doc_id < b.doc_id group by 1, 2),
+pairs as (select o as original_id, c as compare_id, row_number() over (partition by c order by s::double / (x.n + y.n - s) desc, o) as r from cu join nu x on x.doc_id = o join nu y on y.doc_id = c where 2 * s >= x.n + y.n - s qualify r = 1),
+e as (select doc_id, arg_min(line, line_no) as o, arg_max(line, line_no) as c from lines group by 1),
 p as (
-  select a.doc_id as l, b.doc_id as r, 'opening' as s from ro a join ro b on a.line = b.line and a.doc_id < b.doc_id
-  union select a.doc_id, b.doc_id, 'closing' from rc a join rc b on a.line = b.line and a.doc_id < b.doc_id
-  union select a.doc_id, b.doc_id, 'lines' from ru a join ru b on a.line = b.line and a.doc_id < b.doc_id group by 1, 2 having count(*) >= 3)
-select l as "left", r as "right", string_agg(s, ',' order by s) as sources from p group by 1, 2
+  select min(doc_id) over (partition by o) as l, doc_id as r, 'opening' as s from e
+  union select min(doc_id) over (partition by c), doc_id, 'closing' from e
+  union select original_id, compare_id, 'lines' from pairs)
+select l as "left", r as "right", string_agg(s, ',' order by s) as sources from p where l < r group by 1, 2
 """
 
 
@@ -144,9 +137,8 @@ def business_token_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def levenshtein_prefilter(spark: SparkSession, d: str) -> DataFrame:
-    names = table(spark, d, "part").select("p_name").distinct()
-    a, b = names.select(F.col("p_name").alias("a"), F.substring("p_name", 1, 3).alias("_k")), names.select(F.col("p_name").alias("b"), F.substring("p_name", 1, 3).alias("_k"))
-    return a.join(b, "_k").where("a < b").select("a", "b", F.levenshtein("a", "b").cast("long").alias("distance")).where("distance <= 5")
+    """Names within two edits of one another, of all names."""
+    return op.within_edits(table(spark, d, "part"), "p_name", 2)
 
 
 def fuzzy_topk_ratio(spark: SparkSession, d: str) -> DataFrame:
@@ -253,7 +245,7 @@ p as (select doc_id, w, lead(w) over (partition by source order by doc_id) as o
 select doc_id, round_even(len(list_intersect(w, o)) * 1.0::double / len(list_distinct(list_concat(w, o))), 6) as jaccard from p where o is not null"""),
     "business_token_score": (business_token_score, """select o_orderkey, case when o_custkey % 7 = o_custkey % 5 then 100.0 else 50.0 end::double as score from orders"""),
     "levenshtein_prefilter": (levenshtein_prefilter, """with n as (select distinct p_name from part)
-select x.p_name as a, y.p_name as b, levenshtein(x.p_name, y.p_name)::bigint as distance from n x join n y on x.p_name[1:3] = y.p_name[1:3] and x.p_name < y.p_name where levenshtein(x.p_name, y.p_name) <= 5"""),
+select x.p_name as a, y.p_name as b, levenshtein(x.p_name, y.p_name)::bigint as distance from n x join n y on x.p_name < y.p_name and abs(length(x.p_name) - length(y.p_name)) <= 2 where levenshtein(x.p_name, y.p_name) <= 2"""),
     "fuzzy_topk_ratio": (fuzzy_topk_ratio, None),
     "vector_topk_cosine": (vector_topk_cosine, f"""with {_COSINE}, r as (select l, r, s, row_number() over (partition by l order by s desc, r) as k from s) select l as "left", r as "right", s as score, k as rank from r where k <= 5"""),
     "mutual_best": (mutual_best, f"""with {_COSINE}, r as (select l, r, s, row_number() over (partition by l order by s desc, r) as x, row_number() over (partition by r order by s desc, l) as y from s)

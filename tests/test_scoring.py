@@ -29,7 +29,9 @@ def pair(spark, **scores):
     return spark.createDataFrame([tuple(float(row.get(n, 0.0)) for n in scoring.DETAILS)], schema)
 
 
-NO_FLAGS = F.array().cast("array<string>")
+
+def no_flags():
+    return F.array().cast("array<string>")
 
 
 @pytest.mark.parametrize(
@@ -47,13 +49,13 @@ NO_FLAGS = F.array().cast("array<string>")
     ],
 )
 def test_weighted_score(spark, scores, flags, want):
-    given = F.array(*[F.lit(f) for f in flags]) if flags else NO_FLAGS
+    given = F.array(*[F.lit(f) for f in flags]) if flags else no_flags()
     assert pair(spark, **scores).select(scoring.weighted_score(given, F.lit(1.0))).head()[0] == pytest.approx(want)
 
 
 def test_acceptance(spark):
     yes, no = F.lit(True), F.lit(False)
-    judged = lambda score, same_number, same_type=yes, **s: pair(spark, **s).select(scoring.acceptable(F.lit(float(score)), NO_FLAGS, same_number, same_type, F.lit(50), no)).head()[0]
+    judged = lambda score, same_number, same_type=yes, **s: pair(spark, **s).select(scoring.acceptable(F.lit(float(score)), no_flags(), same_number, same_type, F.lit(50), no)).head()[0]
     assert judged(90, no, body_score=90) and not judged(90, no, no, body_score=90)
     assert judged(50, no, key_score=96, body_score=35) and not judged(50, no, key_score=96, body_score=34)
     assert judged(50, yes, body_score=55) and not judged(50, yes, body_score=54)
