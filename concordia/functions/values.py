@@ -72,3 +72,12 @@ def token_overlap(a: Column, b: Column) -> Column:
     """100 if neither side has tokens, 70 if one has none, else their Jaccard share of 100."""
     both = F.size(F.array_intersect(a, b)) * 100.0 / F.size(F.array_union(a, b))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 100.0).when((F.size(a) == 0) | (F.size(b) == 0), 70.0).otherwise(both)
+
+
+def date_precision(text: Column) -> Column:
+    """day or month, as far as a date says; null where the text is no date of a four-digit year."""
+    flat = F.regexp_replace(text, r"(?U)\s+", "")
+    part = lambda i: F.regexp_extract(flat, r"^(\d{4})年(\d{1,2})月(?:(\d{1,2})日?)?$", i)
+    has_day = part(3) != ""
+    real = F.try_to_date(F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.when(has_day, F.lpad(part(3), 2, "0")).otherwise("01")), "yyyy-MM-dd")
+    return F.when((part(1) != "") & (part(1) != "0000") & real.isNotNull(), F.when(has_day, "day").otherwise("month"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Decision, reason and fill change by the states of original and compare.
@@ -80,3 +80,37 @@ def identity(prefix: str, *parts: Column) -> Column:
     """A stable id: prefix and the first 24 hex digits of the SHA-256 of the parts as JSON."""
     names = [p.alias(f"k{i}") for i, p in enumerate(parts)]
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256), 1, 24))
+
+
+def mutate(state: DataFrame, patches: DataFrame, key: str, owner: str) -> DataFrame:
+    """Read, change, write: rows with the patch of their key applied, where a patch column is not null, revision up by
+    one. A patch may not change the owner: such a row stays as it is and is marked ``refused``."""
+    fields = [c for c in patches.columns if c not in (key, owner)]
+    given = patches.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_p_{c}") for c in patches.columns if c != key])
+    refused = F.col("_k").isNotNull() & F.col(f"_p_{owner}").isNotNull() & ~F.col(f"_p_{owner}").eqNullSafe(F.col(owner))
+    changed = F.col("_k").isNotNull() & ~refused
+    value = lambda c: F.when(changed, F.coalesce(f"_p_{c}", c)).otherwise(F.col(c)).alias(c) if c in fields else F.when(changed, F.col(c) + 1).otherwise(F.col(c)).alias(c) if c == "revision" else F.col(c)
+    return state.join(given, F.col(key) == F.col("_k"), "left").select(*[value(c) for c in state.columns], refused.alias("refused"))
+
+
+def event_frames(messages: DataFrame, key: str, order: str, at: str, payload: list[str], status: str, terminal: list[str], wait: int = 30) -> DataFrame:
+    """(key, order, keepalives, frame): messages as server-sent events, up to the first terminal one of each key;
+    ``keepalives`` is how many whole waits of seconds went by before the message."""
+    window = Window.partitionBy(key).orderBy(order)
+    ended = F.max(F.col(status).isin(*terminal).cast("int")).over(window.rowsBetween(Window.unboundedPreceding, -1))
+    gap = F.col(at).cast("timestamp").cast("long") - F.lag(at).over(window).cast("timestamp").cast("long")
+    frame = F.concat(F.lit("data: "), F.to_json(F.struct(*payload), {"ignoreNullFields": "false"}), F.lit("\n\n"))
+    rows = messages.withColumn("_ended", F.coalesce(ended, F.lit(0))).withColumn("keepalives", F.coalesce(F.floor(gap / wait), F.lit(0)).cast("long"))
+    return rows.where("_ended = 0").select(key, order, "keepalives", frame.alias("frame"))
+
+
+def observations(calls: DataFrame, keys: list[str]) -> DataFrame:
+    """Calls of a task by stage: attempts over the wire, retries, inputs answered from a cache, failures, seconds waited.
+
+    ``calls``: keys, cache_hit, retry (booleans), outcome, inputs, seconds.
+    """
+    hit = F.col("cache_hit")
+    return calls.groupBy(*keys).agg(
+        F.count_if(~hit).alias("attempts"), F.count_if("retry").alias("retries"), F.coalesce(F.sum(F.when(hit, F.col("inputs"))), F.lit(0)).alias("cached_inputs"),
+        F.count_if(F.col("outcome") == "error").alias("failures"), F.coalesce(F.sum(F.when(~hit, F.col("seconds"))), F.lit(0.0)).alias("seconds"),
+    )

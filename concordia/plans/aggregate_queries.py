@@ -80,13 +80,6 @@ def spatial_overlap_dedup(spark: SparkSession, d: str) -> DataFrame:
     return op.overlap_pairs(boxes, ["p_brand"], "p_partkey", 0.8, 20.0)
 
 
-def page_promotion(spark: SparkSession, d: str) -> DataFrame:
-    """Orders whose returned or open lines cover most of their quantity, with two lines or more."""
-    covered = F.sum(F.when(F.col("l_returnflag") != "N", F.col("l_quantity")).otherwise(0.0)) / F.sum("l_quantity")
-    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.bround(covered, 6).alias("coverage"), F.count("*").alias("blocks"))
-    return rows.where("coverage >= 0.82 and blocks >= 2")
-
-
 def column_event_aggregation(spark: SparkSession, d: str) -> DataFrame:
     """Cell events that cover every row of a column become one column event."""
     lines = table(spark, d, "lineitem")
@@ -232,8 +225,6 @@ n as (select c_nationkey, count(distinct c_mktsegment) > 1 as c_mktsegment_confl
 select a.p_partkey as "left", c.p_partkey as "right" from b a join b c on a.p_brand = c.p_brand and a.p_partkey < c.p_partkey
 where least(a.x1, c.x1) > greatest(a.x0, c.x0) and least(a.y1, c.y1) > greatest(a.y0, c.y0)
   and (least(a.x1, c.x1) - greatest(a.x0, c.x0)) * (least(a.y1, c.y1) - greatest(a.y0, c.y0)) >= 0.8 * least((a.x1 - a.x0) * (a.y1 - a.y0), (c.x1 - c.x0) * (c.y1 - c.y0))"""),
-    "page_promotion": (page_promotion, """select l_orderkey, round_even(sum(case when l_returnflag <> 'N' then l_quantity else 0 end) / sum(l_quantity), 6) as coverage, count(*) as blocks from lineitem group by 1
-having round_even(sum(case when l_returnflag <> 'N' then l_quantity else 0 end) / sum(l_quantity), 6) >= 0.82 and count(*) >= 2"""),
     "column_event_aggregation": (column_event_aggregation, """with r as (select l_orderkey, count(distinct l_linenumber) as n from lineitem group by 1),
 c as (select l_orderkey, l_linenumber, 'discount' as "column" from lineitem where l_discount > 0.02 union all select l_orderkey, l_linenumber, 'tax' from lineitem where l_tax > 0.01 union all select l_orderkey, l_linenumber, 'quantity' from lineitem where l_quantity > 10),
 e as (select l_orderkey, "column", count(distinct l_linenumber) as covered from c group by 1, 2) select e.l_orderkey, "column", covered from e join r on e.l_orderkey = r.l_orderkey where covered >= 2 and covered = n"""),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from concordia.functions import values
-from concordia.functions.similarity import change_ranges
+from concordia.functions.diff import changed_ranges
 from concordia.operators import cells as ce
 from concordia.operators import lifecycle as lc
 from concordia.operators import lines as ln
@@ -167,7 +167,7 @@ def text_diff_ranges(spark: SparkSession, d: str) -> DataFrame:
         import pandas as pd
 
         for frame in frames:
-            out = [(r.original_id, r.compare_id, r.line_no, *x) for r in frame.itertuples(index=False) for x in change_ranges(r.before, r.after)]
+            out = [(r.original_id, r.compare_id, r.line_no, *x) for r in frame.itertuples(index=False) for x in changed_ranges(r.before, r.after)]
             yield pd.DataFrame(out, columns=["original_id", "compare_id", "line_no", "type", "a_start", "a_end", "b_start", "b_end"])
 
     return rows.select("original_id", "compare_id", "line_no", "before", "after").mapInPandas(run, "original_id long, compare_id long, line_no long, type string, a_start long, a_end long, b_start long, b_end long")
