@@ -11,7 +11,9 @@ table in the shared folder.
 
 * null and empty texts: the end id alone
 * very long texts: one document never spans blocks; a block grows to hold it
-* repeated rows: each is stored, next to the other; rows whose doc_id is null are not stored
+* repeated rows: each is stored, next to the other; rows whose doc_id is null come last, in blocks of
+  their own that say so
+* more than 2 ** ``MAX_BITS`` distinct ids: codes get as many bits as these need
 * empty table: no blocks, no rows
 """
 
@@ -28,16 +30,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from concordia.llm import tokens
-from concordia.llm.storage import materialize, range_expression, shuffle_partitions
+from concordia.llm.storage import lean, materialize, shuffle_partitions
 from concordia.llm.text_kernel import text_array
 
 MAX_BITS = 16
 STRIDE = 256
 BLOCK_TOKENS = 1 << 18
 END_ID = 0
-#: A block opens with these bytes, then documents, symbols, stride and bytes of bits.
+#: A block opens with these bytes, then documents, symbols, stride, bytes of bits and flags.
 MAGIC = b"CHUF"
-HEAD = struct.Struct("<4sIIII")
+HEAD = struct.Struct("<4sIIIII")
+#: The flag of a block whose documents have no doc_id.
+NAMELESS = 1
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -48,8 +52,7 @@ def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
     if n <= 1:
         lengths[symbols] = 1
         return lengths
-    if n > 1 << limit:
-        raise ValueError(f"{n} symbols don't fit in codes of {limit} bits")
+    limit = max(limit, (n - 1).bit_length())
     symbols = symbols[np.argsort(counts[symbols], kind="stable")]
     leaves = counts[symbols].astype(np.int64)
     merged, levels = leaves, [np.ones(n, bool)]
@@ -120,19 +123,21 @@ class Code:
         return out
 
 
-def write_block(doc_ids: np.ndarray, n_tokens: np.ndarray, checkpoints: list[bytes], bits: list[bytes]) -> bytes:
-    """One block. Checkpoints are bit offsets within a document, one for each ``STRIDE`` symbols."""
+def write_block(doc_ids: np.ndarray | None, n_tokens: np.ndarray, checkpoints: list[bytes], bits: list[bytes]) -> bytes:
+    """One block; ``doc_ids`` may be missing altogether. Checkpoints are bit offsets within a document, one for each ``STRIDE`` symbols."""
     body = b"".join(bits)
+    flags = NAMELESS if doc_ids is None else 0
+    doc_ids = np.zeros(len(n_tokens), np.int64) if doc_ids is None else doc_ids
     parts = [doc_ids.astype("<i8").tobytes(), n_tokens.astype("<u4").tobytes(), np.array([len(b) for b in bits], "<u4").tobytes(), b"".join(checkpoints), body]
-    block = HEAD.pack(MAGIC, len(doc_ids), int(n_tokens.sum()), STRIDE, len(body)) + b"".join(parts)
+    block = HEAD.pack(MAGIC, len(doc_ids), int(n_tokens.sum()), STRIDE, len(body), flags) + b"".join(parts)
     return block + struct.pack("<I", zlib.crc32(block))
 
 
-def read_block(block: bytes, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc_ids, n_tokens, ids) of a block, after its checksum."""
+def read_block(block: bytes, code: Code) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
+    """(doc_ids or None, n_tokens, ids) of a block, after its checksum."""
     if zlib.crc32(memoryview(block)[:-4]) != struct.unpack("<I", block[-4:])[0]:
         raise ValueError("damaged block")
-    magic, n, _, stride, size = HEAD.unpack_from(block)
+    magic, n, _, stride, size, flags = HEAD.unpack_from(block)
     if magic != MAGIC:
         raise ValueError("not a block")
     at = HEAD.size
@@ -146,12 +151,13 @@ def read_block(block: bytes, code: Code) -> tuple[np.ndarray, np.ndarray, np.nda
     of = np.repeat(np.arange(n), stretches)
     nth = np.arange(total) - np.repeat(np.cumsum(stretches) - stretches, stretches)
     begin = (np.cumsum(sizes) - sizes)[of] * 8 + checkpoints
-    return doc_ids, n_tokens, code.decode(data, begin, np.minimum(n_tokens[of] - nth * stride, stride))
+    return None if flags & NAMELESS else doc_ids, n_tokens, code.decode(data, begin, np.minimum(n_tokens[of] - nth * stride, stride))
 
 
 def _ids_table(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """(doc_id, n_tokens, ids): ids as little-endian 16-bit numbers, or 32-bit where one is larger."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, ids, bounds in tokens.token_runs(text_array(batch), tokenizer_path):
@@ -161,7 +167,7 @@ def _ids_table(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
                 values = pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(bounds * raw.itemsize), pa.py_buffer(raw)])
                 yield pa.record_batch([batch.column("doc_id").slice(rows.start, len(rows)), pa.array(np.diff(bounds)), values.cast(pa.binary())], ["doc_id", "n_tokens", "ids"])
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
 def _flat_ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -175,6 +181,7 @@ def _flat_ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 def count_ids(ids_table: DataFrame) -> np.ndarray:
     """Global counts, one number for each id up to the largest. Batches count before anything moves."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
@@ -193,10 +200,12 @@ def count_ids(ids_table: DataFrame) -> np.ndarray:
     return counts
 
 
-def _coded(ids_table: DataFrame, lengths: np.ndarray) -> DataFrame:
-    """(doc_id, n_tokens, checkpoints, bits) of each document."""
+def _coded(ids_table: DataFrame, lengths: np.ndarray, cuts: list[int]) -> DataFrame:
+    """(doc_id, n_tokens, checkpoints, bits, shard) of each document; shards are ranges between the cuts."""
+    upper = np.array(cuts, np.int64)  # as many as there are partitions
     shared = ids_table.sparkSession.sparkContext.broadcast(lengths)  # a byte for each id of the vocabulary
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Code(shared.value)
         for whole in batches:
@@ -207,9 +216,12 @@ def _coded(ids_table: DataFrame, lengths: np.ndarray) -> DataFrame:
                 marks = inside.astype("<u4")
                 checkpoints = [marks[bounds[i] : bounds[i + 1] : STRIDE].tobytes() for i in range(batch.num_rows)]
                 bits = [data[byte[i] : byte[i + 1]].tobytes() for i in range(batch.num_rows)]
-                yield pa.record_batch([batch.column("doc_id"), batch.column("n_tokens"), pa.array(checkpoints, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "n_tokens", "checkpoints", "bits"])
+                doc = batch.column("doc_id")
+                shard = np.where(doc.is_null().to_numpy(zero_copy_only=False), len(upper) + 1, np.searchsorted(upper, doc.fill_null(0).to_numpy()))
+                columns = [doc, batch.column("n_tokens"), pa.array(checkpoints, pa.binary()), pa.array(bits, pa.binary()), pa.array(shard.astype(np.int32))]
+                yield pa.record_batch(columns, ["doc_id", "n_tokens", "checkpoints", "bits", "shard"])
 
-    return ids_table.mapInArrow(run, "doc_id long, n_tokens long, checkpoints binary, bits binary")
+    return ids_table.mapInArrow(run, "doc_id long, n_tokens long, checkpoints binary, bits binary, shard int")
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> tuple[DataFrame, DataFrame]:
@@ -220,15 +232,15 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> tup
     codebook = materialize(spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary"), "codebook")
     n = 2 * shuffle_partitions(spark)
     cuts = ids_table.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).head()[0] or []
-    coded = _coded(ids_table, lengths).withColumn("shard", F.expr(range_expression("doc_id", sorted(set(cuts)))))
-    ordered = coded.repartition(shuffle_partitions(spark), "shard").sortWithinPartitions("shard", "doc_id", "n_tokens", "bits")
+    ordered = _coded(ids_table, lengths, sorted(set(cuts))).repartition(shuffle_partitions(spark), "shard").sortWithinPartitions("shard", "doc_id", "n_tokens", "bits")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, number, held, size = None, 0, [], 0
 
         def flush() -> pa.RecordBatch:
             doc, n_tok, marks, bits = zip(*held, strict=True)
-            block = write_block(np.array(doc, np.int64), np.array(n_tok, np.int64), list(marks), list(bits))
+            block = write_block(None if doc[0] is None else np.array(doc, np.int64), np.array(n_tok, np.int64), list(marks), list(bits))
             return pa.record_batch([pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([len(doc)], pa.int64()), pa.array([size], pa.int64()), pa.array([block], pa.binary())], ["shard", "block", "n_docs", "n_tokens", "bytes"])
 
         for batch in batches:
@@ -252,6 +264,7 @@ def read_ids(blocks: DataFrame, codebook: DataFrame, with_ids: bool = True) -> D
     shared = blocks.sparkSession.sparkContext.broadcast(lengths)
     names = ["shard", "block", "place", "doc_id", "start_in_block", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Code(shared.value)
         for batch in batches:
@@ -259,10 +272,11 @@ def read_ids(blocks: DataFrame, codebook: DataFrame, with_ids: bool = True) -> D
                 doc, n_tok, ids = read_block(value.as_buffer().to_pybytes(), code)
                 bounds = np.concatenate([[0], np.cumsum(n_tok)])
                 raw = ids.astype("<u4")
-                crc = [zlib.crc32(raw[bounds[i] : bounds[i + 1]]) for i in range(len(doc))]
+                crc = [zlib.crc32(raw[bounds[i] : bounds[i + 1]]) for i in range(len(n_tok))]
                 more = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))] if with_ids else []
-                n = len(doc)
-                yield pa.record_batch([pa.array([shard] * n, pa.int32()), pa.array([number] * n, pa.int32()), pa.array(np.arange(n)), pa.array(doc), pa.array(bounds[:-1]), pa.array(n_tok), pa.array(crc, pa.int64()), *more], names)
+                n = len(n_tok)
+                doc = pa.nulls(n, pa.int64()) if doc is None else pa.array(doc)
+                yield pa.record_batch([pa.array([shard] * n, pa.int32()), pa.array([number] * n, pa.int32()), pa.array(np.arange(n)), doc, pa.array(bounds[:-1]), pa.array(n_tok), pa.array(crc, pa.int64()), *more], names)
 
     schema = "shard int, block int, place long, doc_id long, start_in_block long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     return blocks.select("shard", "block", "bytes").mapInArrow(run, schema)

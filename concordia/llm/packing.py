@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from concordia.llm import tokens
-from concordia.llm.storage import materialize, shuffle_partitions
+from concordia.llm.storage import lean, materialize, shuffle_partitions
 from concordia.llm.text_kernel import text_array
 
 CAPACITY = 4096
@@ -177,6 +177,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, en
     docs = docs.select("doc_id", "text", *keep)
     schema = docs.drop("text").selectExpr("doc_id", "0 as piece", "0L as start", "0L as length", "0L as ids_crc32", *(["array(0) as ids"] if with_ids else []), *keep).schema
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, ids, bounds in tokens.token_runs(text_array(batch), tokenizer_path):
@@ -218,6 +219,7 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_bucket", "_l", "_b", "_before")
     schema = ranked.drop("_rank").selectExpr("*", "0L as sequence_id", "0L as offset").schema
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sequence, offset = slots.value.place(batch.column("length").to_numpy(), batch.column("_rank").to_numpy())

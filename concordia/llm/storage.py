@@ -2,21 +2,34 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder (tests on one machine).
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+from concordia.sources.tables import shared_folder
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINTS)
-    return f"file://{LOCAL_CHECKPOINTS}"
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A batch function that gives freed memory back to the system when its task ends. Workers serve many
+    tasks of many queries, and allocators keep what the largest of them took."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return mapped
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than GNU's
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -26,9 +39,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     every later reader the same rows whatever the input plan would redo.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/concordia/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/concordia/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialised tables that no plan reads any more."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
