@@ -60,13 +60,13 @@ def page_number_line_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def normalize_for_match(spark: SparkSession, d: str) -> DataFrame:
-    flat = norm.normalize_for_match(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.length(flat).cast("long").alias("n"), F.md5(flat).alias("folded"))
+    folded = table(spark, d, "documents").select("doc_id", norm.normalize_for_match(F.col("text")).alias("flat"))
+    return folded.select("doc_id", F.length("flat").cast("long").alias("n"), F.md5("flat").alias("folded"))
 
 
 def normalize_for_diff(spark: SparkSession, d: str) -> DataFrame:
-    flat = norm.normalize_for_diff(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.length(flat).cast("long").alias("n"), F.md5(flat).alias("folded"))
+    folded = table(spark, d, "documents").select("doc_id", norm.normalize_for_diff(F.col("text")).alias("flat"))
+    return folded.select("doc_id", F.length("flat").cast("long").alias("n"), F.md5("flat").alias("folded"))
 
 
 _KEPT = r"""

@@ -161,7 +161,7 @@ s as (select a.vec_id as l, b.vec_id as r, round_even(list_inner_product(a.e, b.
 
 
 def mutual_best(spark: SparkSession, d: str) -> DataFrame:
-    return op.mutual_best(op.vector_pairs(table(spark, d, "embeddings"), "label", "vec_id", "embedding"), "left", "right", "score").select("left", "right", "score")
+    return op.mutual_neighbors(table(spark, d, "embeddings"), "label", "vec_id", "embedding").select("left", "right", "score")
 
 
 def _scored_halves(spark: SparkSession, d: str) -> DataFrame:

@@ -68,3 +68,24 @@ def test_alignment_flags(spark):
     rows = frame.select(scoring.alignment_flags(*(F.col(c) for c in "absxy")).alias("f")).collect()
     last = "POSSIBLE_CLAUSE_MISALIGNMENT"
     assert [r.f for r in rows] == [["TEXT_MATCH_NUMBER_MISMATCH", last], ["TITLE_MATCH_TEXT_MISMATCH", "CRITICAL_TOKEN_MISMATCH", last], []]
+
+
+@pytest.mark.parametrize("tile", [2, 3, 1024])
+def test_vector_pairs_against_brute_force(spark, monkeypatch, tile):
+    import numpy as np
+
+    from concordia.operators import matching
+
+    monkeypatch.setattr(matching, "TILE", tile)
+    rng = np.random.default_rng(tile)
+    rows = [(i, int(i % 2), [float(v) for v in rng.integers(-3, 4, 3)]) for i in range(17)] + [(90, 0, None), (91, None, [1.0, 2.0, 3.0]), (92, 1, [0.0, 0.0, 0.0])]
+    frame = spark.createDataFrame(rows, "id long, b int, v array<float>")
+    live = [(i, b, np.array(v)) for i, b, v in rows if v is not None and b is not None and any(v)]
+    want = {(i, j, round(float(x @ y / np.linalg.norm(x) / np.linalg.norm(y)), 6) + 0.0) for i, b, x in live for j, c, y in live if i != j and b == c}
+    got = {(r.left, r.right, r.score + 0.0) for r in matching.vector_pairs(frame, "b", "id", "v").collect()}
+    assert {(i, j) for i, j, _ in got} == {(i, j) for i, j, _ in want} and all(abs(dict(((i, j), s) for i, j, s in want)[i, j] - s) < 2e-6 for i, j, s in got)
+    best = {}
+    for i, j, s in got:
+        best.setdefault(i, []).append((-s, j))
+    top = {(r.left, r.right, r["rank"]) for r in matching.vector_pairs(frame, "b", "id", "v", 3).collect()}
+    assert top == {(i, j, n + 1) for i, found in best.items() for n, (_, j) in enumerate(sorted(found)[:3])}
