@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from concordia.functions.normalize import normalize
+
 
 def html_tags(pages: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
     """(id, at, tag): opening tags in the order in which they stand, lower-cased."""
@@ -75,3 +77,21 @@ def interval_clusters(df: DataFrame, keys: list[str], lo: str, hi: str, gap: flo
     reach = F.max(hi).over(window.rowsBetween(Window.unboundedPreceding, -1))
     rows = df.withColumn("_new", F.when(F.col(lo) - reach <= gap, 0).otherwise(1))
     return rows.withColumn(name, F.sum("_new").over(window.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_new")
+
+
+# The words of a table's text that tell its type, in the order in which types are tried.
+TABLE_WORDS = {
+    "product": ("产品名称", "详细配置", "单价", "金额", "标的物"),
+    "payment": ("付款", "支付", "付款节点", "付款条件", "进度款", "验收款"),
+    "acceptance": ("验收", "标准", "指标", "测试"),
+    "contact": ("联系人", "电话", "邮箱", "通讯地址"),
+    "cover": ("甲方", "乙方", "签订日期", "合同编号", "签订地点"),
+}
+
+
+def table_type(text: Column) -> Column:
+    """The type of a table by the words in its folded text, the first that has one; generic without any."""
+    flat, found = normalize(text), F.lit("generic")
+    for name, words in reversed(TABLE_WORDS.items()):
+        found = F.when(flat.rlike("|".join(words)), name).otherwise(found)
+    return found
