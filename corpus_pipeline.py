@@ -18,8 +18,10 @@ ORACLE_SQL = None
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are in a language the labelled rows teach; a missing label is filled in."""
     model = language_id.fit_on(docs, F.lit(True))
-    found = language_id.identify(docs, model).where("not rejected")
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    own = {c: f"_own_{c}" for c in docs.columns if c in language_id.COLUMNS}  # a user's columns of these names
+    found = language_id.identify(docs.withColumnsRenamed(own), model).where("not rejected")
+    found = found.withColumn("lang", F.coalesce("lang", "lang_pred")).drop(*language_id.COLUMNS)
+    return found.withColumnsRenamed({new: c for c, new in own.items()}).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
