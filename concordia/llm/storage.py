@@ -32,15 +32,26 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+#: Rows of whole texts in an Arrow batch, so that a batch takes a few megabytes in the executor and its worker.
+TEXT_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialize(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back; with ``batch_rows``, in Arrow batches of so many
+    rows while it is written.
 
     The copy survives lost executors, is compressed and column-pruned, and gives
     every later reader the same rows whatever the input plan would redo.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/concordia/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_BATCH)
+    try:
+        spark.conf.set(_BATCH, batch_rows or before)
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     table = spark.read.schema(df.schema).parquet(path)
     table.stored_at = path
     return table
