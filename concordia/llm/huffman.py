@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from concordia.llm import tokens
-from concordia.llm.storage import lean, materialize, shuffle_partitions
+from concordia.llm.storage import TEXT_ROWS, lean, materialize, shuffle_partitions
 from concordia.llm.text_kernel import text_array
 
 MAX_BITS = 16
@@ -227,7 +227,7 @@ def _coded(ids_table: DataFrame, lengths: np.ndarray, cuts: list[int]) -> DataFr
 def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> tuple[DataFrame, DataFrame]:
     """Writes (blocks, codebook) tables: blocks has shard, block, n_docs, n_tokens and the bytes."""
     spark = docs.sparkSession
-    ids_table = materialize(_ids_table(docs, tokenizer_path, end_id), "ids")
+    ids_table = materialize(_ids_table(docs, tokenizer_path, end_id), "ids", TEXT_ROWS)
     lengths = code_lengths(count_ids(ids_table))
     codebook = materialize(spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary"), "codebook")
     n = 2 * shuffle_partitions(spark)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from concordia.llm import tokens
-from concordia.llm.storage import lean, materialize, shuffle_partitions
+from concordia.llm.storage import TEXT_ROWS, lean, materialize, shuffle_partitions
 from concordia.llm.text_kernel import text_array
 
 CAPACITY = 4096
@@ -206,7 +206,7 @@ def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     many tasks.
     """
     spark = pieces.sparkSession
-    pieces = materialize(pieces, "pieces").withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(max(64, 4 * shuffle_partitions(spark)))))
+    pieces = materialize(pieces, "pieces", TEXT_ROWS).withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(max(64, 4 * shuffle_partitions(spark)))))
     cells = materialize(pieces.groupBy("length", "_bucket").agg(F.count("*").alias("n")), "piece-counts")
     histogram = np.zeros(capacity + 1, np.int64)
     for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect():

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 
 #: What a worker's memory of pieces may take, about; beyond that only pieces of several runs stay.
-REMEMBERED_BYTES = 64 << 20
+REMEMBERED_BYTES = 48 << 20
 #: Bytes that a remembered piece takes besides its text and ids.
 _PER_PIECE = 200
 RUN_BYTES = 4 << 20
