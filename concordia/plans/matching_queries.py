@@ -119,9 +119,11 @@ select item_id, doc_id, round_even(c * 1.0::double / n, 6) as containment from c
 
 def token_jaccard(spark: SparkSession, d: str) -> DataFrame:
     """Jaccard share of the words of one document and the next in order of id within its source."""
-    words = F.array_distinct(F.split(F.trim(F.lower("text")), r"\s+"))
-    rows = table(spark, d, "documents").select("doc_id", "source", words.alias("words"))
-    rows = rows.withColumn("other", F.lead("words").over(Window.partitionBy("source").orderBy("doc_id"))).where("other is not null")
+    docs = table(spark, d, "documents")
+    # The order is found on ids alone, so a large source moves no texts through one task.
+    pairs = docs.select("doc_id", F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("next")).where("next is not null")
+    words = docs.select("doc_id", F.array_distinct(F.split(F.trim(F.lower("text")), r"\s+")).alias("words"))
+    rows = pairs.join(words, "doc_id").join(words.select(F.col("doc_id").alias("next"), F.col("words").alias("other")), "next").where("other is not null")
     share = F.size(F.array_intersect("words", "other")) / F.size(F.array_union("words", "other"))
     return rows.select("doc_id", F.bround(share, 6).alias("jaccard"))
 
