@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from concordia.llm.storage import lean
 from concordia.llm.text_kernel import mix
 
 #: Bound of the sample that the classifier is fitted on: about as many rows of each language.
@@ -31,6 +32,8 @@ LONGEST_SAMPLE = 50_000
 CENTROIDS = 4
 FEATURES = 1 << 13
 ORDERS = (1, 2, 3, 4)
+#: Places of a text whose n-grams are counted at a time.
+PART = 1 << 20
 #: Cosine under which no centroid is near enough. Running text of a known language scores 0.3 and more, unknown scripts under 0.05.
 REJECT_BELOW = 0.1
 UNKNOWN = "und"
@@ -42,15 +45,20 @@ _FOLD[91:97] = 32
 _FOLD[123:128] = 32
 
 
-def grams(text: bytes) -> np.ndarray:
-    """Hashed n-grams of one lower-cased text; runs of blanks count as one, and so do its edges."""
+def folded(text: bytes) -> np.ndarray:
+    """The letters of a lower-cased text; whatever lies between is one blank, and so are its edges."""
     b = _FOLD[np.frombuffer(b" " + text + b" ", np.uint8)]
-    b = b[(b != 32) | np.concatenate([[True], b[:-1] != 32])].astype(np.uint64)
+    return b[(b != 32) | np.concatenate([[True], b[:-1] != 32])]
+
+
+def grams(letters: np.ndarray, starts: int) -> np.ndarray:
+    """Hashed n-grams that begin at the first ``starts`` places."""
+    b = letters.astype(np.uint64)
     out, code = [], np.zeros(len(b), np.uint64)
     for n in range(1, max(ORDERS) + 1):
         code = code[: len(b) - n + 1] * np.uint64(256) + b[n - 1 :]
         if n in ORDERS and len(code):
-            out.append(mix(code * np.uint64(8) + np.uint64(n)) % np.uint64(FEATURES))
+            out.append(mix(code[:starts] * np.uint64(8) + np.uint64(n)) % np.uint64(FEATURES))
     return np.concatenate(out).astype(np.int64)
 
 
@@ -58,8 +66,9 @@ def counts(texts: list[bytes]) -> np.ndarray:
     """Damped counts, a row for each text."""
     rows = np.zeros((len(texts), FEATURES), np.float32)
     for i, t in enumerate(texts):
-        for at in range(0, len(t), 1 << 20):
-            rows[i] += np.bincount(grams(t[at : at + (1 << 20)]), minlength=FEATURES)
+        letters = folded(t)
+        for at in range(0, len(letters), PART):
+            rows[i] += np.bincount(grams(letters[at : at + PART + max(ORDERS) - 1], PART), minlength=FEATURES)
     return np.log1p(rows, out=rows)
 
 
@@ -129,15 +138,19 @@ def fit_on(docs: DataFrame, of_training: Column) -> Model:
     return fit(training_rows(docs, of_training))
 
 
+#: The columns that ``identify`` adds.
+COLUMNS = ["lang_pred", "score", "rejected"]
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """Adds to ``docs`` the columns lang_pred, score and rejected (these names are taken over)."""
-    new = ["lang_pred", "score", "rejected"]
-    docs = docs.select([c for c in docs.columns if c not in new])
+    docs = docs.select([c for c in docs.columns if c not in COLUMNS])
     schema = docs.selectExpr("*", "'' as lang_pred", "0d as score", "false as rejected").schema
     for f in schema.fields[-3:]:
         f.nullable = True
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x CENTROIDS x FEATURES floats
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):

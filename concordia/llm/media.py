@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from concordia.llm.storage import materialize
+from concordia.llm.storage import lean, materialize
 
 #: Magic numbers and the media type that each may open.
 MAGIC = {
@@ -133,9 +133,15 @@ def _riff(b: bytes, at: int) -> tuple[str, int] | None:
 
 
 def _pdf(b: bytes, at: int) -> tuple[str, int] | None:
-    start = b.find(b"startxref", at)
-    end = b.find(b"%%EOF", start) if start >= 0 else -1
-    return ("application/pdf", end + 5 - at) if end >= 0 and b[at + 5 : at + 6].isdigit() else None
+    """To the last revision: each ends with startxref and %%EOF, and no other file may begin between them."""
+    end, other = -1, b.find(b"%PDF-", at + 5)
+    while True:
+        start = b.find(b"startxref", max(end, at))
+        last = b.find(b"%%EOF", start) if start >= 0 else -1
+        if last < 0 or (end >= 0 and 0 <= other < start):
+            break
+        end = last + 5
+    return ("application/pdf", end - at) if end >= 0 and b[at + 5 : at + 6].isdigit() else None
 
 
 def _gzip(b: bytes, at: int) -> tuple[str, int] | None:
@@ -174,6 +180,7 @@ def media_columns(df: DataFrame, blob: str, declared: str, id_col: str) -> DataF
     for f in schema.fields[1:]:
         f.nullable = True
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             types, wrong, parts = [], [], []
@@ -224,9 +231,14 @@ def decode_png(png: bytes) -> np.ndarray:
     return rows[:, 1:]
 
 
+#: The type that the store gives to all it holds.
+DECLARED = "application/octet-stream"
+
+
 def store_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each whole text stored losslessly as an image."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
@@ -240,9 +252,11 @@ def store_texts(docs: DataFrame) -> DataFrame:
 def stored_features(stored: DataFrame) -> DataFrame:
     """Sniffs, carves and decodes stored media; features come from the bytes that were read back.
 
-    feature: true type, size, and mean and entropy of the samples.
+    feature: true type, size, and mean and entropy of the samples. ``declared`` is what a store says that
+    knows no types, ``type_corrected`` whether the media type differs from it, and ``embedded`` has
+    the media found inside the payload itself, as offset:length:type, comma-joined.
     """
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "declared", "type_corrected", "embedded"]
 
     def row(n: int, blob: bytes) -> tuple:
         at, length, kind = sniff(blob)[0]
@@ -251,8 +265,9 @@ def stored_features(stored: DataFrame) -> DataFrame:
         share = np.bincount(samples.reshape(-1), minlength=256) / samples.size
         entropy = -(share[share > 0] * np.log2(share[share > 0])).sum()
         feature = f"{kind} {samples.shape[1]}x{samples.shape[0]} mean={samples.mean():.4f} entropy={entropy:.4f}"
-        return n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), length, hashlib.sha256(blob[at : at + length]).hexdigest(), feature
+        return n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), length, hashlib.sha256(blob[at : at + length]).hexdigest(), feature, DECLARED, kind != DECLARED, ",".join(f"{o}:{m}:{k}" for o, m, k in sniff(payload))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
@@ -260,7 +275,7 @@ def stored_features(stored: DataFrame) -> DataFrame:
                 rows = [row(n, m.as_buffer().to_pybytes()) for n, m in zip(batch.column(1).to_pylist(), batch.column(2), strict=True)]
                 yield pa.record_batch([batch.column(0), *map(pa.array, zip(*rows, strict=True))], names)
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, declared string, type_corrected boolean, embedded string")
 
 
 def media_report(docs: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language_id.fit_on(docs, ~held_out(F.col("doc_id")))
     found = language_id.identify(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

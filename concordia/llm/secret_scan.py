@@ -18,6 +18,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from concordia.llm.storage import lean
+
 #: The kinds in the order in which they are listed.
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 
@@ -173,6 +175,7 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
 
 
 def _mapped(docs: DataFrame, schema: str, rows: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield rows(batch)
