@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordia.llm.storage import materialize, shuffle_partitions
+from concordia.llm.storage import lean, materialize, shuffle_partitions
 from concordia.llm.text_kernel import Words, inside_mask, joined_hashes, mix, sliding_argmin, text_array, window_ranges, word_runs
 
 _U = np.uint64
@@ -36,23 +36,26 @@ def sequence_digests(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.n
     return n, one, two
 
 
-def word_copies(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(texts, copies): (doc_id, n_words, d1, d2) of every row, and the (doc_id, n_words, rep) of rows
-    whose word sequence also belongs to a smaller doc_id, rep being the smallest."""
+def word_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest): rows whose word sequence also belongs to a smaller doc_id. The digest is the SHA-256
+    of the words with a blank between, so a doc_id that has several texts is a copy in one of them only."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words in word_runs(text_array(batch)):
-                n, one, two = sequence_digests(words, words.hashes(seed))
-                ids = batch.column(0).slice(words.rows.start, len(n))
-                yield pa.record_batch([ids, pa.array(n.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["doc_id", "n_words", "d1", "d2"])
+                some = np.flatnonzero(np.diff(words.first) > 0)
+                texts = normal_texts(words)
+                digests = pa.array([hashlib.sha256(texts[i]).digest() for i in some.tolist()], pa.binary())
+                yield pa.record_batch([batch.column(0).take(pa.array(some + words.rows.start)), digests], ["doc_id", "digest"])
 
-    texts = materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, d1 long, d2 long"), "word-digests")
-    reps = texts.where("n_words > 0").groupBy("d1", "d2", "n_words").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("_top")).where("rep < _top")
-    copies = texts.join(reps, ["d1", "d2", "n_words"]).where("doc_id > rep")
-    return texts, copies.select("doc_id", "n_words", "rep").distinct()
+    texts = materialize(docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id long, digest binary"), "word-digests")
+    reps = texts.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("_top")).where("rep < _top")
+    return texts.join(reps, "digest").where("doc_id > rep").select("doc_id", "digest").distinct()
 
 
+#: Bytes of a window's hash. Windows are told apart under one anchor only, whose hash has 64 bits of its own.
+WIDTH = 6
 #: So many rows of one anchor in a run of texts are combined before they leave the batch.
 HOT_IN_RUN = 4
 _ROW = "anchor long, doc_id long, start int, windows binary, more binary, n_windows int, owner long, owner_start int"
@@ -90,7 +93,7 @@ class _Combiner:
             else:
                 self.known[key] = (int(doc[i]), int(start[i]), int(i), run)
         row = np.flatnonzero(keep)
-        values = pa.Array.from_buffers(pa.binary(), len(anchor), [None, pa.py_buffer((edges * hashes.itemsize).astype(np.int32)), pa.py_buffer(hashes)]).take(pa.array(row))
+        values = pa.Array.from_buffers(pa.binary(), len(anchor), [None, pa.py_buffer((edges * hashes.shape[1]).astype(np.int32)), pa.py_buffer(hashes)]).take(pa.array(row))
         others = pa.array([np.array(more[i], "<i4").tobytes() if i in more else None for i in row.tolist()] if more else [None] * len(row), pa.binary())
         none = np.zeros(len(row), np.int64)
         plain = [pa.array(anchor[row].view(np.int64)), pa.array(doc[row]), pa.array(start[row].astype(np.int32)), values, others, pa.array(none.astype(np.int32)), pa.array(none), pa.array(none.astype(np.int32))]
@@ -104,31 +107,39 @@ class _Combiner:
         return pa.record_batch([pa.concat_arrays([x, y]) for x, y in zip(plain, done, strict=True)], _NAMES)
 
 
-def anchor_rows(docs: DataFrame, window: int, k: int, width: int = 4, seed: int = 0) -> DataFrame:
+def _same_words(one: bytes, two: bytes) -> bool:
+    return one == two or one.split() == two.split()  # bytes split at the blanks that part words here
+
+
+def anchor_rows(docs: DataFrame, window: int, k: int, width: int = WIDTH) -> DataFrame:
     """(anchor, doc_id, start, windows, more, n_windows, owner, owner_start): ``windows`` has ``width`` bytes
     of hash for each window from word ``start``; ``more`` has other places of the document with the same
-    windows. Rows with ``n_windows`` are finished runs, see ``_Combiner``. ``seed`` chooses the words' hash.
+    windows. Rows with ``n_windows`` are finished runs, see ``_Combiner``.
 
     Within a batch, a text whose words a smaller doc_id has given already is passed over: it is a
-    copy, and its words are known from the smaller one.
+    copy, and its words are known from the smaller one. Digests find it, its words confirm it.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            seen: dict[tuple[int, int], int] = {}
-            combiner = _Combiner()
-            for number, words in enumerate(word_runs(text_array(batch))):
-                h = words.hashes(seed)
+            seen: dict[tuple[int, int], tuple[int, int]] = {}
+            combiner, texts = _Combiner(), text_array(batch)
+            raw = lambda i: texts[i].as_buffer().to_pybytes()
+            for number, words in enumerate(word_runs(texts)):
+                h = words.hashes()
                 n, one, two = sequence_digests(words, h)
                 own = ids[words.rows.start : words.rows.stop]
                 fresh = n >= window
                 for i in np.flatnonzero(fresh):
                     key = (int(one[i]), int(two[i]))
-                    if seen.get(key, own[i] + 1) < own[i]:
+                    first = seen.get(key)
+                    row = words.rows.start + int(i)
+                    if first is not None and first[0] < own[i] and _same_words(raw(first[1]), raw(row)):
                         fresh[i] = False
-                    else:
-                        seen[key] = own[i]
+                    elif first is None or own[i] < first[0]:
+                        seen[key] = (int(own[i]), row)
                 lo, hi = window_ranges(words.first, window)
                 whole, grams = joined_hashes(h, window), joined_hashes(h, k)
                 at = sliding_argmin(grams, window - k + 1)
@@ -140,13 +151,13 @@ def anchor_rows(docs: DataFrame, window: int, k: int, width: int = 4, seed: int
                 new[1:] = (at[valid][1:] != at[valid][:-1]) | (of[1:] != of[:-1])
                 first = np.flatnonzero(new)
                 start = (valid - words.first[of])[first]
-                short = (whole[valid] >> _U(64 - 8 * width)).astype(f"<u{width}")
+                short = np.ascontiguousarray(whole[valid].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
                 yield combiner.combine(number, grams[at[valid[first]]], own[of[first]], start, np.append(first, len(valid)), short)
 
     return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, _ROW)
 
 
-def recurring_runs(rows: DataFrame, width: int = 4) -> DataFrame:
+def recurring_runs(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, start, n_windows, owner, owner_start, row_start, finished): runs of windows that a smaller
     doc_id has too. The owner is the smallest one that has them or, in a finished run, the one that
     its batch knew: ``smallest_owners`` looks further. ``rows`` come from ``anchor_rows`` of this ``width``.
@@ -156,6 +167,7 @@ def recurring_runs(rows: DataFrame, width: int = 4) -> DataFrame:
     """
     names = ["doc_id", "start", "n_windows", "owner", "owner_start", "row_start", "finished"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_anchor, owners = None, {}
         for whole in batches:
@@ -177,7 +189,9 @@ def recurring_runs(rows: DataFrame, width: int = 4) -> DataFrame:
             count = (edges[1:] - edges[:-1])[row] // width
             of = np.repeat(row, count)
             nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-            short = np.frombuffer(b"".join(v.as_buffer() for v in batch.column(3).take(pa.array(row))), f"<u{width}")
+            wide = np.zeros((len(of), 8), np.uint8)
+            wide[:, :width] = np.frombuffer(b"".join(v.as_buffer() for v in batch.column(3).take(pa.array(row))), np.uint8).reshape(-1, width)
+            short = wide.view("<u8")[:, 0]
             a, d, p = anchor[of], doc[of], start[of].astype(np.int64) + nth
             order = np.lexsort((short, a))
             first = np.ones(len(order), bool)
@@ -229,6 +243,7 @@ def joined_runs(runs: DataFrame) -> DataFrame:
     """Runs of a document that go on from one another, in it and in the owner, as one."""
     names = ["doc_id", "start", "n_windows", "owner", "owner_start"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -244,40 +259,6 @@ def joined_runs(runs: DataFrame) -> DataFrame:
     return runs.repartition(p, "doc_id").sortWithinPartitions("doc_id", "start").mapInArrow(run, runs.schema)
 
 
-def false_runs(runs: DataFrame, docs: DataFrame, window: int) -> DataFrame:
-    """Of (doc_id, start, n_windows, owner, owner_start), the runs whose words in the document are not those in
-    the owner's text, or stand in none of the rows of that id. Words are cut from the texts themselves and
-    compared by their SHA-256."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["run", "owned", "digest"]
-        for batch in batches:
-            spans = batch.column("spans")
-            edge = np.concatenate([[0], np.cumsum(pc.list_value_length(spans).to_numpy())])
-            number, owned, at, n = spans.flatten().flatten()
-            start, end = at.to_numpy(), at.to_numpy() + n.to_numpy()
-            kept, digests = [], []
-            for i, packed in enumerate(batch.column("packed")):
-                text = unpacked(packed.as_buffer().to_pybytes())
-                blank = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
-                word = np.concatenate([[0], blank + 1, [len(text) + 1]]) if text else np.zeros(1, np.int64)
-                inside = edge[i] + np.flatnonzero(end[edge[i] : edge[i + 1]] < len(word))
-                kept.append(inside)
-                digests += [hashlib.sha256(text[a : b - 1]).digest() for a, b in zip(word[start[inside]].tolist(), word[end[inside]].tolist(), strict=True)]
-            row = pa.array(np.concatenate(kept)) if kept else pa.array([], pa.int64())
-            yield pa.record_batch([number.take(row), owned.take(row), pa.array(digests, pa.binary())], names)
-
-    numbered = materialize(runs.select("doc_id", "start", "n_windows", "owner", "owner_start").withColumn("run", F.monotonically_increasing_id()), "runs-to-verify")
-    n = F.col("n_windows") + window - 1
-    side = lambda doc, at, owned: numbered.select(F.col(doc).alias("doc_id"), F.struct("run", F.lit(owned).alias("owned"), F.col(at).alias("at"), n.alias("n")).alias("_span"))
-    spans = side("doc_id", "start", False).unionByName(side("owner", "owner_start", True)).groupBy("doc_id").agg(F.collect_list("_span").alias("spans"))
-    found = packed_texts(docs.where("doc_id is not null")).join(spans, "doc_id").select("packed", "spans").mapInArrow(run, "run long, owned boolean, digest binary")
-    own = F.collect_set(F.when(~F.col("owned"), F.col("digest")))
-    theirs = F.collect_set(F.when(F.col("owned"), F.col("digest")))
-    true = found.groupBy("run").agg(own.alias("_a"), theirs.alias("_b")).where(F.arrays_overlap("_a", "_b"))
-    return numbered.join(true.select("run"), "run", "left_anti").drop("run")
-
-
 def normal_texts(words: Words) -> list[bytes]:
     """Each text's words with one blank between."""
     if not len(words.start):
@@ -306,6 +287,7 @@ def normal_texts(words: Words) -> list[bytes]:
 def packed_texts(docs: DataFrame, keep: str = "doc_id") -> DataFrame:
     """(doc_id, packed): normal texts, compressed before they are shuffled."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=True)
         for batch in batches:

@@ -2,8 +2,9 @@
 Aho-Corasick automata, one for each shard of documents, and every document is streamed through
 its shard's automaton to find each place where a passage of a smaller document occurs.
 
-A passage reaches only the shards in which anchors place it, so an automaton is never larger than
-the repeated text of its shard, and the number of shards grows with the shuffle partitions.
+A passage reaches only the shards in which anchors place it, and the number of shards follows the
+words of all passages asked for, so an automaton holds about ``SHARD_WORDS`` of them at most.
+Texts that are copies as a whole are found by the SHA-256 of their words and need no passage.
 
 * null and empty texts, texts without a word: no words, nothing removed, the empty text's digest
 * texts shorter than a window: nothing removed; very long texts: whole
@@ -25,15 +26,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concordia.llm.passages import anchor_rows, joined_runs, packed_texts, recurring_runs, unpacked, word_copies
-from concordia.llm.storage import materialize, shuffle_partitions
+from concordia.llm.storage import lean, materialize, shuffle_partitions
 
 WINDOW = 13
 ANCHOR = 6
+#: Words of passages that a shard's automaton holds, about.
+SHARD_WORDS = 250_000
 
 
 def _phrases(requests: DataFrame, texts: DataFrame, window: int) -> DataFrame:
     """(shard, kind, doc_id, body, n): owners' passages as text, cut where the requests say."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -85,6 +89,7 @@ class Automaton:
 def _streamed(rows: DataFrame, window: int) -> DataFrame:
     """Builds each shard's automaton from its first rows and streams its documents through it."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, found = None, Automaton()
         for whole in batches:
@@ -94,14 +99,14 @@ def _streamed(rows: DataFrame, window: int) -> DataFrame:
                 if of != shard:
                     shard, found = of, Automaton()
                 if kind == 0:
-                    if body.is_valid:
+                    if n.as_py():
                         found.add(body.as_py(), doc_id, n.as_py())
                     else:
-                        found.copies.add((doc_id, n.as_py()))
+                        found.copies.add((doc_id, body.as_py()))
                     continue
                 text = unpacked(body.as_buffer().to_pybytes())
                 words = text.split(b" ") if text else []
-                if len(words) >= window and (doc_id, len(words)) in found.copies:
+                if len(words) >= window and found.copies and (doc_id, hashlib.sha256(text).digest()) in found.copies:
                     gone = np.ones(len(words), bool)
                 else:
                     gone = found.covered(doc_id, text.decode(), len(words))
@@ -118,14 +123,14 @@ def _streamed(rows: DataFrame, window: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): texts without the words that a window of ``window`` words
     covers which also starts in a document with a smaller doc_id; kept words joined by a blank."""
-    shards = 4 * shuffle_partitions(docs.sparkSession)
-    shard = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(shards)), F.lit(0)).cast("int").alias("shard")
-    _, copies = word_copies(docs)
     runs = materialize(joined_runs(recurring_runs(anchor_rows(docs, window, ANCHOR))), "runs")
+    asked = int(runs.agg(F.sum(F.col("n_windows") + window - 1)).head()[0] or 0)
+    shards = max(4 * shuffle_partitions(docs.sparkSession), -(-asked // SHARD_WORDS))
+    shard = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(shards)), F.lit(0)).cast("int").alias("shard")
     requests = runs.select("owner", "owner_start", "n_windows", shard)
     texts = packed_texts(docs)
     phrases = _phrases(requests, texts, window)
-    whole = copies.select(shard, F.lit(0).alias("kind"), "doc_id", F.lit(None).cast("binary").alias("body"), F.col("n_words").alias("n"))
+    whole = word_copies(docs).select(shard, F.lit(0).alias("kind"), "doc_id", F.col("digest").alias("body"), F.lit(0).cast("long").alias("n"))
     streams = texts.select(shard, F.lit(1).alias("kind"), "doc_id", F.col("packed").alias("body"), F.lit(0).cast("long").alias("n"))
     return _streamed(phrases.unionByName(whole).unionByName(streams), window)
 
