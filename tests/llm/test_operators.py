@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
-from concordia.llm import canonical_digest, huffman, language_id, media, mixing, ngram_join, packing, passages, phrase_automata, secret_scan, sparse_suffix, text_kernel
+from concordia.llm import canonical_digest, huffman, language_id, media, mixing, ngram_join, packing, phrase_automata, secret_scan, sparse_suffix, text_kernel, tokens
 from concordia.llm.queries import tokenizer
 
 WORD_BPE, BYTE_BPE = tokenizer("word_bpe_49k.json"), tokenizer("byte_bpe_50k.json")
@@ -27,7 +27,6 @@ def library_ids(path, text, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, end]
 
 
@@ -122,6 +121,8 @@ def test_sniffing_confirms_corrects_and_carves(spark):
     assert media.sniff(wav(10)) == [(0, 54, "audio/wav")]
     blob = b"junk" + gif + b"--" + jpeg + gz + b"%PDF-1.4 startxref 9 %%EOF tail"
     assert [(o, k) for o, _, k in media.sniff(blob)] == [(4, "image/gif"), (6 + len(gif), "image/jpeg"), (6 + len(gif) + len(jpeg), "application/gzip"), (6 + len(gif) + len(jpeg) + len(gz), "application/pdf")]
+    revised = b"%PDF-1.4 startxref 9 %%EOF more startxref 40 %%EOF"
+    assert [x[:2] for x in media.sniff(revised + b"\n" + revised)] == [(0, len(revised)), (len(revised) + 1, len(revised))]
     broken = bytearray(png)
     broken[60] ^= 1
     for bad in (bytes(broken), png[:-5], b"\x89PNG\r\n\x1a\n", b"RIFF\xff\xff\xff\xffWAVE", b"\xff\xd8\xff", b"GIF89a", b"\x1f\x8b\x08zzz", b"%PDF-1", b""):
@@ -155,7 +156,41 @@ def test_ids_come_back(docs, rows):
 def test_ids_edge_tables(empty, clashing, docs, null_ids):
     assert huffman.id_report(empty, BYTE_BPE).collect() == []
     assert sorted(huffman.id_report(clashing, BYTE_BPE).collect()) == sorted(huffman.id_report(docs, BYTE_BPE).collect())
-    assert huffman.id_report(null_ids, BYTE_BPE).where("doc_id is null").count() == 0
+    rows = huffman.id_report(null_ids, BYTE_BPE).collect()
+    texts = null_ids.collect()
+    named = sum(r.n_tokens for r in rows if r.doc_id is not None)
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows) == Counter((t.doc_id, len(ids), brute.crc(ids)) for t in texts for ids in [library_ids(BYTE_BPE, t.text, 0)])
+    assert sum(r.doc_id is None for r in rows) > 3 and all((r.doc_id is None) == (r.start >= named) for r in rows)
+
+
+ATOMS = ["a", "b", "foo", "Bar", "don't", "'s", "é", "É", "ß", "中文", "の", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\u00a0", "\u2003", "\u3000", "\u0301", "\u0338", "<", "=", "!", ",", ".", '"', "(", ")"]
+ATOMS += ["<|endoftext|>", "<|startoftext|>", "<|", "|>", "1", "23", "\u0130", "\ufb01", "\u03a9", "\u044f", "\U0001f600", "\x1c", "\x85", "\0", "_", "-", "A\u030a", "e\u0301", "\u0345", "\u01c6"]
+
+
+@pytest.mark.parametrize(("path", "remembered", "run"), [(p, m, r) for p in (WORD_BPE, BYTE_BPE) for m, r in ((64 << 20, 4 << 20), (1 << 16, 1 << 14))])
+def test_ids_equal_the_librarys(monkeypatch, path, remembered, run):
+    """Mixed texts in any order: white space at the ends, markers, scripts, combining marks; memory that is soon full."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(remembered)
+    pick = lambda: rng.choice(ATOMS) if rng.random() < 0.6 else rng.choice([*ATOMS[:14], *[" "] * 10, f"word{rng.randrange(400)}"])
+    texts = ["".join(pick() for _ in range(rng.randrange(25))) for _ in range(20_000)] + ["中" * 5000, "x" * 9000, "a\n\n", "b", "end <|endoftext|> x"]
+    rng.shuffle(texts)
+    monkeypatch.setattr(tokens, "REMEMBERED_BYTES", remembered)
+    monkeypatch.setattr(tokens, "RUN_BYTES", run)
+    monkeypatch.setattr(tokens, "_ENCODERS", {})
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)]
+    got = [ids[lo:hi].tolist() for rows, ids, bounds in tokens.token_runs(pa.array(texts, pa.large_string()), path) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert got == want
+
+
+def test_what_an_encoder_remembers_is_bounded():
+    coder = tokens.Encoder(BYTE_BPE)
+    rng = np.random.default_rng(1)
+    for _ in range(12):
+        data = np.frombuffer(" ".join(f"{v:x}" for v in rng.integers(0, 1 << 60, 200_000)).encode(), np.uint8)
+        coder.run(data, np.array([0, len(data)]))
+        assert coder.text_bytes + 4 * coder.used + 200 * len(coder.known) <= tokens.REMEMBERED_BYTES
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 1000, 60000])
@@ -268,17 +303,33 @@ def test_passages_that_agree_in_half_a_hash_are_told_apart(spark):
     check_passages(rows, sparse_suffix.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
 
 
-def test_false_runs_are_seen(spark):
-    docs = spark.createDataFrame([(0, "a b c d e"), (1, "x  a b\nc"), (2, ""), (None, "a b c")], "doc_id long, text string")
-    runs = [(1, 1, 2, 0, 0), (1, 0, 2, 0, 0), (1, 2, 1, 0, 1), (1, 2, 2, 0, 1), (1, 1, 1, 2, 0)]
-    frame = spark.createDataFrame(runs, "doc_id long, start long, n_windows long, owner long, owner_start long")
-    assert {tuple(r) for r in passages.false_runs(frame, docs, 2).collect()} == {runs[1], runs[3], runs[4]}
+def test_phrases_of_a_doc_id_with_several_texts(spark):
+    """A doc_id that is a copy in one row keeps the words of its other row, also where these are as many."""
+    rng = random.Random(11)
+    base, other = (" ".join(rng.choice("abcdefghij") + str(rng.randrange(90)) for _ in range(60)) for _ in range(2))
+    rows = [(1, base), (2, base), (2, other), (3, other), (3, base), (4, other[:150])]
+    got = Counter(tuple(r) for r in phrase_automata.repeat_report(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect())
+    want = Counter()
+    for doc_id, words, gone, _ in brute.covered(rows, 13):
+        left = " ".join(w for w, g in zip(words, gone, strict=True) if not g)
+        want[doc_id, len(words), sum(gone), brute.sha(left)] += 1
+    assert got == want
+
+
+def test_sorted_neighbours_extend_to_both_sides():
+    """Suffixes of one key: windows are the same where common words to the left and right add up."""
+    texts = ["p q r a b c d e", "x q r a b c d e f", "q r a b z", "r a b c d"]
+    table = pa.table({"doc_id": [5, 4, 3, 2], "start": pa.array([0, 10, 20, 30], pa.int32()), "back": pa.array([3, 3, 2, 1], pa.int32()), "n_windows": pa.array([4, 5, 1, 1], pa.int32()), "words": [t.encode() for t in texts], "row_start": pa.array([0, 10, 20, 30], pa.int32())})
+    got = {tuple(r.values()) for r in sparse_suffix._repeated_windows(table, 5, 2).to_pylist()}
+    # windows of 5 words: "q r a b c" (4, 5), "r a b c d" (2, 4, 5), "a b c d e" (4, 5); "p q r a b" and "q r a b z" stand alone
+    assert got == {(5, 1, 1, 4, None, 0, False), (5, 2, 1, 2, None, 0, False), (5, 3, 1, 4, None, 0, False), (4, 12, 1, 2, None, 10, False)}
 
 
-def test_a_seeded_hash_gives_the_same_passages(docs, rows):
-    found = passages.recurring_runs(passages.anchor_rows(docs, 50, 27, 8, 3), 8)
-    assert {r.doc_id for r in found.collect()} <= {r.doc_id for r in sparse_suffix.repeated_passages(docs).collect()}
-    assert passages.false_runs(found, docs, 50).isEmpty()
+@pytest.mark.parametrize("name", ["HOT_GROUP", "CHUNK", "KNOWN_BYTES"])
+def test_passages_with_small_limits(docs, rows, monkeypatch, name):
+    """Keys divided window by window, small chunks, and batches that forget at once give the same rows."""
+    monkeypatch.setattr(sparse_suffix, name, 2)
+    check_passages(rows, sparse_suffix.repeated_passages(docs).collect())
 
 
 # --- fingerprints

@@ -52,6 +52,15 @@ def test_stages_against_brute_force(spark, docs, rows):
     check_packing(mixed, packed(spark, fourth, "").collect())
 
 
+def test_language_stage_keeps_a_users_columns(spark, docs):
+    from pyspark.sql import functions as F
+
+    own = docs.withColumns({"score": F.lit(777), "rejected": F.lit("no"), "lang_pred": F.col("doc_id") + 1})
+    kept = corpus_pipeline.language(spark, own, "")
+    assert kept.schema.simpleString() == own.schema.simpleString()
+    assert all(r.score == 777 and r.rejected == "no" and r.lang_pred == r.doc_id + 1 for r in kept.collect())
+
+
 def test_pipeline_of_an_empty_table(spark, empty, tmp_path):
     empty.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
