@@ -33,16 +33,22 @@ def word_boxes(df: DataFrame, id_col: str, text: str, x0: float, x1: float) -> D
 
 def counterparts(regions: DataFrame, blocks: DataFrame, region: str, block: str, reach: float, margin: float) -> DataFrame:
     """(region, block, score): the block nearest to each region within ``reach`` on both axes, if it leads
-    the next by ``margin``. Both sides meet in grid cells of that size, never all with all."""
+    the next by ``margin``. Places meet in grid cells of that size, never all with all: the first block of a place
+    stands for all on it, and regions on one place are compared once."""
     cell = lambda c: F.floor(F.col(c) / reach)
     around = lambda c: F.explode(F.array(cell(c) - 1, cell(c), cell(c) + 1))
-    a = regions.withColumn("_cx", around("x")).withColumn("_cy", around("y"))
-    b = blocks.select(block, F.col("x").alias("_x"), F.col("y").alias("_y"), cell("x").alias("_cx"), cell("y").alias("_cy"))
+    a = regions.select("x", "y").distinct().withColumn("_cx", around("x")).withColumn("_cy", around("y"))
+    b = blocks.groupBy(F.col("x").alias("_x"), F.col("y").alias("_y")).agg(F.min(F.struct(block))[block].alias(block), (F.count("*") > 1).alias("_more"))
+    b = b.withColumn("_cx", cell("_x")).withColumn("_cy", cell("_y"))
     dx, dy = F.abs(F.col("x") - F.col("_x")), F.abs(F.col("y") - F.col("_y"))
-    rows = a.join(b, ["_cx", "_cy"]).where((dx <= reach) & (dy <= reach)).select(region, block, F.bround(1 - (dx + dy) / (2 * reach), 6).alias("score"))
-    window = Window.partitionBy(region).orderBy(F.col("score").desc(), block)
-    rows = rows.withColumn("_r", F.row_number().over(window)).withColumn("_next", F.lead("score").over(window))
-    return rows.where((F.col("_r") == 1) & (F.col("_next").isNull() | (F.col("score") - F.col("_next") >= margin))).drop("_r", "_next")
+    near = a.join(b, ["_cx", "_cy"]).where((dx <= reach) & (dy <= reach)).select("x", "y", block, "_more", F.bround(1 - (dx + dy) / (2 * reach), 6).alias("score"))
+    first = lambda *keys: Window.partitionBy(*keys).orderBy(F.col("score").desc(), block)
+    near = near.withColumn("_r", F.row_number().over(first("x", "y"))).where("_r <= 2").drop("_r")
+    rows = regions.select(region, "x", "y").join(near, ["x", "y"]).select(region, block, "score", "_more")
+    # The next of a place's first block is its second one.
+    following = F.when(F.col("_more"), F.col("score")).otherwise(F.lead("score").over(first(region)))
+    rows = rows.withColumn("_r", F.row_number().over(first(region))).withColumn("_next", following)
+    return rows.where((F.col("_r") == 1) & (F.col("_next").isNull() | (F.col("score") - F.col("_next") >= margin))).drop("_r", "_next", "_more")
 
 
 def consensus(readings: DataFrame, keys: list[str], side: str, reading: str) -> DataFrame:

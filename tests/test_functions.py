@@ -257,3 +257,22 @@ def test_optimal_vectors_without_held_costs(monkeypatch):
     held = matching.optimal_vectors(np.arange(30) * 2, x, np.arange(25) * 2 + 1, y)
     monkeypatch.setattr(matching, "HELD", 10)
     assert sorted(matching.optimal_vectors(np.arange(30) * 2, x, np.arange(25) * 2 + 1, y)) == sorted(held) and len(held) == 25
+
+
+def test_counterparts_on_shared_places(spark):
+    """All pairs decide, but blocks and regions on one place meet once: 30,000 on each side, 900 million pairs."""
+    rng = random.Random(8)
+    place = lambda i: (i, float(rng.randint(0, 9)), float(rng.randint(0, 9)))
+    regions, blocks = [place(i % 50) for i in range(60)], [place(i) for i in range(40)] + [(None, 3.0, 3.0), (90, None, 1.0), (91, -2.0, 30.0)]
+    kind = "{} long, x double, y double".format
+    for margin in (0.05, 0.0):
+        want = set()
+        for r in range(50):
+            near = sorted((-round(1 - (dx + dy) / 6, 6), -1 if b is None else b) for i, x, y in regions if i == r for b, u, v in blocks if u is not None and (dx := abs(x - u)) <= 3 and (dy := abs(y - v)) <= 3)
+            if near and (len(near) == 1 or near[1][0] - near[0][0] >= margin):
+                want.add((r, None if near[0][1] < 0 else near[0][1], -near[0][0]))
+        found = evidence.counterparts(spark.createDataFrame(regions, kind("region")), spark.createDataFrame(blocks, kind("block")), "region", "block", 3.0, margin)
+        assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want)) and want
+    many = lambda name, x: spark.range(30_000).select(F.col("id").alias(name), F.lit(x).alias("x"), F.lit(1.0).alias("y"))
+    near = evidence.counterparts(many("region", 0.0), many("block", 1.0).unionByName(spark.createDataFrame([(-7, 0.0, 1.0)], kind("block"))), "region", "block", 3.0, 0.05)
+    assert near.groupBy("block", "score").count().collect() == [(-7, 1.0, 30_000)]
