@@ -35,20 +35,32 @@ def informative(column: str) -> list[Column]:
     return [best["v"].alias(column), (F.count_distinct(value) > 1).alias(f"{column}_conflict")]
 
 
+#: Ids of one box that stand together where boxes are compared.
+TOGETHER = 256
+
+
 def overlap_pairs(boxes: DataFrame, keys: list[str], id_col: str, least: float, cell: float) -> DataFrame:
     """(left, right): boxes of a key whose common area is at least ``least`` of the smaller one's.
 
     Boxes are joined where they share a grid cell of size ``cell``, not all with all; a pair counts in
-    the one cell that holds the corner of its common area.
+    the one cell that holds the corner of its common area. Equal boxes are compared once and then stand for
+    all their ids, at most about ``TOGETHER`` to a row, so no box is too common for a task.
     """
     cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
-    rows = boxes.select(*keys, id_col, "x0", "y0", "x1", "y1", cells("x0", "x1").alias("_cx")).withColumn("_cy", cells("y0", "y1"))
-    names = [id_col, "x0", "y0", "x1", "y1"]
+    corners = ["x0", "y0", "x1", "y1"]
+    share = F.pmod(F.xxhash64(id_col), F.ceil(F.count("*").over(Window.partitionBy(*keys, *corners)) / TOGETHER))
+    alike = boxes.where(F.col(id_col).isNotNull()).select(*keys, *corners, id_col, share.alias("_share"))
+    alike = alike.groupBy(*keys, *corners, "_share").agg(F.collect_list(id_col).alias("_ids"))
+    rows = alike.withColumn("_cx", cells("x0", "x1")).withColumn("_cy", cells("y0", "y1"))
+    names = [*corners, "_share", "_ids"]
     a = rows.select(*keys, "_cx", "_cy", *[F.col(c).alias(f"l_{c}") for c in names])
     b = rows.select(*keys, "_cx", "_cy", *[F.col(c).alias(f"r_{c}") for c in names])
     x, y = F.greatest("l_x0", "r_x0"), F.greatest("l_y0", "r_y0")
     width, height = F.least("l_x1", "r_x1") - x, F.least("l_y1", "r_y1") - y
     area = lambda s: (F.col(f"{s}_x1") - F.col(f"{s}_x0")) * (F.col(f"{s}_y1") - F.col(f"{s}_y0"))
-    joined = a.join(b, [*keys, "_cx", "_cy"]).where((F.col(f"l_{id_col}") < F.col(f"r_{id_col}")) & (width > 0) & (height > 0))
-    joined = joined.where((F.col("_cx") == F.floor(x / cell)) & (F.col("_cy") == F.floor(y / cell)))
-    return joined.where(width * height >= least * F.least(area("l"), area("r"))).select(F.col(f"l_{id_col}").alias("left"), F.col(f"r_{id_col}").alias("right"))
+    place = lambda s: F.struct(*[F.col(f"{s}_{c}").alias(c) for c in names[:-1]])
+    joined = a.join(b, [*keys, "_cx", "_cy"]).where((width > 0) & (height > 0) & (width * height >= least * F.least(area("l"), area("r"))))
+    joined = joined.where((F.col("_cx") == F.floor(x / cell)) & (F.col("_cy") == F.floor(y / cell)) & (place("l") <= place("r")))
+    pairs = joined.select((place("l") == place("r")).alias("_same"), F.explode("l__ids").alias("_l"), "r__ids").select("_same", "_l", F.explode("r__ids").alias("_r"))
+    pairs = pairs.where(F.when(F.col("_same"), F.col("_l") < F.col("_r")).otherwise(F.col("_l") != F.col("_r")))
+    return pairs.select(F.least("_l", "_r").alias("left"), F.greatest("_l", "_r").alias("right"))

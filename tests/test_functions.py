@@ -276,3 +276,22 @@ def test_counterparts_on_shared_places(spark):
     many = lambda name, x: spark.range(30_000).select(F.col("id").alias(name), F.lit(x).alias("x"), F.lit(1.0).alias("y"))
     near = evidence.counterparts(many("region", 0.0), many("block", 1.0).unionByName(spark.createDataFrame([(-7, 0.0, 1.0)], kind("block"))), "region", "block", 3.0, 0.05)
     assert near.groupBy("block", "score").count().collect() == [(-7, 1.0, 30_000)]
+
+
+def test_overlaps_of_equal_boxes(spark, monkeypatch):
+    """Many copies of a few boxes, repeated and missing ids: every pair of ids by its times, and each two boxes meet once."""
+    rng = random.Random(5)
+    shapes = [(x := rng.randint(0, 30), y := rng.randint(0, 30), x + rng.randint(0, 12), y + rng.randint(1, 9)) for _ in range(12)]
+    boxes = [(rng.choice(["p", "q", None]), i % 190 if i else None, *map(float, rng.choice(shapes))) for i in range(200)] + [("p", 7, None, 1.0, 2.0, 2.0)]
+    frame = spark.createDataFrame(boxes, "k string, i int, x0 double, y0 double, x1 double, y1 double")
+    want = []
+    for a, b in itertools.product(boxes, repeat=2):
+        if a[0] and a[0] == b[0] and None not in (*a, *b) and a[1] < b[1]:
+            w, h = min(a[4], b[4]) - max(a[2], b[2]), min(a[5], b[5]) - max(a[3], b[3])
+            if w > 0 and h > 0 and w * h >= 0.5 * min((z[4] - z[2]) * (z[5] - z[3]) for z in (a, b)):
+                want.append((a[1], b[1]))
+    for together in (256, 3):
+        monkeypatch.setattr(aggregates, "TOGETHER", together)
+        assert sorted(map(tuple, aggregates.overlap_pairs(frame, ["k"], "i", 0.5, 13.0).collect())) == sorted(want)
+    found = aggregates.overlap_pairs(spark.range(2_000).select(F.lit(1).alias("k"), F.col("id").alias("i"), *[F.lit(v).alias(c) for c, v in (("x0", 0.0), ("y0", 0.0), ("x1", 5.0), ("y1", 5.0))]), ["k"], "i", 0.5, 13.0)
+    assert found.count() == 1_999_000 and "l__ids" in found._jdf.queryExecution().toString()
