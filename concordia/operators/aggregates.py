@@ -18,6 +18,17 @@ def count_changes(items: DataFrame, keys: list[str], status: str = "status") ->
     return rows.groupBy(*keys).agg(of("insert"), of("delete"), of("change"), F.count("_kind").alias("total"))
 
 
+def ordered_means(rows: DataFrame, keys: list[str], order: list[str], means: dict[str, str], *more: Column) -> DataFrame:
+    """Per key the mean of columns under new names, and further aggregates. Numbers are added one after the other in
+    the given order, which must be unique: a sum of floating-point numbers changes in its last digit with
+    their order, and with it a mean that lies on a limit. Nulls are passed over; a key without numbers has no mean."""
+    window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = rows.withColumns({f"_sum_{name}": F.sum(column).over(window) for name, column in means.items()})
+    last = F.struct(*order)
+    mean = lambda name, column: (F.max_by(f"_sum_{name}", last) / F.count(column)).alias(name)
+    return sums.groupBy(*keys).agg(*[mean(name, column) for name, column in means.items()], *more)
+
+
 def winner(df: DataFrame, keys: list[str], order: list[Column], merge: dict[str, str]) -> DataFrame:
     """The first row of each key in an order that ends in a unique column; ``merge`` collects the
     sorted distinct values of a column over the key under a new name."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from concordia.operators import aggregates as op
 from concordia.operators.lines import islands
 from concordia.plans.line_queries import _LINES, _lines
-from concordia.sources.tables import table
+from concordia.sources.tables import ordered_table, table
 
 _STATUS = {"click": "MODIFY", "view": "MATCH", "error": "DELETE", "signup": "ADD", "purchase": "INSERT"}
 
@@ -31,7 +31,8 @@ def quality_summary_flags(spark: SparkSession, d: str) -> DataFrame:
 
 def page_quality_status(spark: SparkSession, d: str) -> DataFrame:
     """An order as a page, its lines as blocks: risk categories give a status and a score."""
-    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.avg("l_discount").alias("_a"), (F.count_if(F.expr("l_tax > 0.06")) / F.count("*")).alias("_low"), F.avg("l_quantity").alias("_q"))
+    lines = ordered_table(spark, d, "lineitem", "l_orderkey", "l_discount", "l_quantity", "l_tax")
+    rows = op.ordered_means(lines, ["l_orderkey"], ["_file", "_row"], {"_a": "l_discount", "_q": "l_quantity"}, (F.count_if(F.expr("l_tax > 0.06")) / F.count("*")).alias("_low"))
     low, layout, thin = F.col("_low") > 0.20, F.col("_a") < 0.03, F.col("_q") < 15
     risks = low.cast("int") + layout.cast("int") + thin.cast("int")
     status = F.when(risks >= 2, "UNRELIABLE").when(low, "LOW_TEXT").when(layout, "LAYOUT").when(thin, "THIN").otherwise("OK")
