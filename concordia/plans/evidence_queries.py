@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from concordia.functions import values
+from concordia.operators import aggregates as ag
 from concordia.operators import cells as ce
 from concordia.operators import evidence as ev
 from concordia.operators import lifecycle as lc
 from concordia.operators import lines as ln
 from concordia.plans.line_queries import _LINES, _lines
-from concordia.sources.tables import table
+from concordia.sources.tables import ordered_table, table
 
 
 def windowed_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -69,7 +70,7 @@ def header_footer_slots(spark: SparkSession, d: str) -> DataFrame:
 
 def page_risk_join(spark: SparkSession, d: str) -> DataFrame:
     """Evidence of events on pages (orders) whose quality is not OK."""
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.avg("l_discount").alias("_a"))
+    lines = ag.ordered_means(ordered_table(spark, d, "lineitem", "l_orderkey", "l_discount"), ["l_orderkey"], ["_file", "_row"], {"_a": "l_discount"})
     risky = lines.where("_a < 0.03").select(F.col("l_orderkey").alias("page"))
     sides = F.array(F.struct(F.lit("original").alias("side"), F.col("event_id").alias("page")), F.struct(F.lit("compare").alias("side"), (F.col("event_id") + F.col("user_id")).alias("page")))
     evidence = table(spark, d, "events").select("event_id", F.explode(sides).alias("e")).select("event_id", "e.*")

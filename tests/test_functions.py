@@ -297,7 +297,7 @@ def test_overlaps_of_equal_boxes(spark, monkeypatch):
     assert found.count() == 1_999_000 and "l__ids" in found._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name", ["page_quality_status", "page_quality_rollup"])
+@pytest.mark.parametrize("name", ["page_quality_status", "page_quality_rollup", "page_risk_join"])
 def test_means_do_not_depend_on_splits(spark, tmp_path, name):
     """Orders whose mean discount lies on the limit, their rows in files that are read apart: sums follow the rows' order."""
     import duckdb
